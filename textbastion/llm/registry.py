@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding, url_reputation
+from . import line_dedup, packing, sharding, url_reputation
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_url_reputation": url_reputation.op6_url_reputation,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op9_hilbert_sharding": sharding.op9_hilbert_sharding,
 }
 ORACLE_SQL = {
