@@ -120,17 +120,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` (case folded by ``table``), and the index of its first word for each text.
+def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray = LOWER, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` (or of bytes not in ``space``; case folded by ``table``), and the index of its first word for each text.
 
     Returns (hashes, first) with ``first`` of length n + 1.
     """
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    gap = SPACE[raw]
+    gap = space[raw]
     start = ~gap
     stop = ~gap
-    inner = off[1:-1]
     cut = np.zeros(len(raw) + 1, bool)
     cut[off] = True
     start[1:] &= gap[:-1] | cut[1:-1]
@@ -140,7 +139,6 @@ def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray = LOWER) -> tuple[
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(table[raw] * up[:-1], out=total[1:])
     h = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * MULT)
-    del inner
     return h, np.searchsorted(s, off)
 
 

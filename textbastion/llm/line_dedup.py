@@ -132,9 +132,10 @@ def shards(scratch: Scratch, keys: DataFrame, per_shard: int = 50_000) -> tuple[
     of = max(1, -(-kept.count() // per_shard))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        t = list(batches)
+        if not t:
             return
+        t = pa.Table.from_batches(t)
         h, fp, n, last, shard = (t.column(c).to_numpy() for c in ("h", "fp", "n", "last", "shard"))
         for s in np.unique(shard).tolist():
             i = shard == s

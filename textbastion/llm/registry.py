@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, sharding, url_reputation
+from . import line_dedup, packing, sharding, toxicity, url_reputation
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_url_reputation": url_reputation.op6_url_reputation,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
