@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, sharding, toxicity, url_reputation
+from . import langid, line_dedup, packing, sharding, toxicity, url_reputation
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_language_id": langid.op4_language_id,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_url_reputation": url_reputation.op6_url_reputation,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
