@@ -99,6 +99,11 @@ LOWER = BYTE.copy()
 LOWER[65:91] = BYTE[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that are no part of a run of ASCII letters, digits and non-ASCII bytes.
+NOT_WORD = np.zeros(256, bool)
+NOT_WORD[:128] = True
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    NOT_WORD[_a:_b] = False
 _POWERS: dict[str, np.ndarray] = {}
 
 

@@ -6,7 +6,7 @@ tokens at ignored positions. Around each diagonal item and document are aligned
 counts +1, a substitution -1 or, where that fails, -3) is verified: a document is contaminated by an item if a segment has at least ``min_match`` equal tokens (or
 all tokens but a quarter, for shorter items) and at least ``min_identity`` of its tokens are equal.
 
-Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Items with fewer tokens than the shortest mask are hashed as a whole. The benchmark is
+Tokens are runs of ASCII letters, digits and non-ASCII characters of the lower-cased text, so case and punctuation don't matter. Items with fewer tokens than the shortest mask are hashed as a whole. The benchmark is
 processed in blocks of at most ``block_items`` items and ``block_mb`` MB of text, each block one narrow pass over the documents, so what is broadcast
 is bounded however large the benchmark is; the documents are never shuffled.
 
@@ -20,21 +20,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _COEF, buffers, mix, slices, table, words
+from .common import _COEF, LOWER, NOT_WORD, buffers, mix, slices, table, text_column, words
 
 MASKS = ("11111", "1101011", "11001011", "101100101", "1110000011")
 U64 = np.uint64
 
 
+def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens, and each text's first."""
+    return words(*buffers(pc.utf8_lower(text_column(col))), LOWER, NOT_WORD)
+
+
 class Seeds:
     """Masked hashes of the benchmark items' positions."""
 
     def __init__(self, ids: list[int], texts: list[str], masks: tuple[str, ...] = MASKS):
-        raw, off = buffers(pa.array(texts, pa.large_string()))
-        self.h, self.first = words(raw, off)
+        self.h, self.first = tokens(pa.array(texts, pa.large_string()))
         self.ids = np.array(ids, np.int64)
         item = np.repeat(np.arange(len(ids)), np.diff(self.first))
         shortest = min(map(len, masks))
@@ -138,8 +143,7 @@ def _probe(sent, min_match: int, min_identity: float):
         seeds = Seeds(*sent.value)
         for batch in batches:
             for b in slices(batch):
-                raw, off = buffers(b.column("text"))
-                h, first = words(raw, off)
+                h, first = tokens(b.column("text"))
                 i = b.schema.get_field_index("hits")
                 hits = b.column(i).to_pylist()
                 for r, it, equal, n, x, y in sorted(seeds.find(h, first, min_match, min_identity)):

@@ -24,12 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, slices, table, words
+from .common import LOWER, NOT_WORD, buffers, slices, table, words
 
-NOT_WORD = np.zeros(256, bool)
-NOT_WORD[:128] = True
-for _a, _b in ((48, 58), (65, 91), (97, 123)):
-    NOT_WORD[_a:_b] = False
 BLOCK = 64
 
 
