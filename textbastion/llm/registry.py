@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, langid, line_dedup, packing, sharding, toxicity, url_reputation
+from . import decontamination, embedding_dedup, langid, line_dedup, packing, sharding, toxicity, url_reputation
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_url_reputation": url_reputation.op6_url_reputation,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_hilbert_sharding": sharding.op9_hilbert_sharding,
 }
 ORACLE_SQL = {
