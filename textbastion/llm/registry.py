@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, jaccard_join, langid, line_dedup, packing, sharding, toxicity, url_reputation
+from . import decontamination, embedding_dedup, jaccard_join, langid, line_dedup, packing, sharding, substring_dedup, toxicity, url_reputation
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_suffix_dedup": substring_dedup.op3_suffix_dedup,
     "op4_language_id": langid.op4_language_id,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_url_reputation": url_reputation.op6_url_reputation,
