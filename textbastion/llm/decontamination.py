@@ -129,7 +129,8 @@ def blocks(bench: DataFrame, block_items: int, block_mb: int) -> Iterator[tuple[
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, min_match: int = 12, min_identity: float = 0.75, block_items: int = 20_000, block_mb: int = 16) -> DataFrame:
-    """All columns of ``docs`` plus ``hits``: array of (item_id, n_equal, n_tokens, first_token, end_token), by item_id."""
+    """All columns of ``docs`` plus (or with, where it is there) ``hits``: array of (item_id, n_equal, n_tokens, first_token, end_token), by item_id."""
+    docs = docs.drop("hits")
     kind = "array<struct<item_id:bigint,n_equal:int,n_tokens:int,first_token:int,end_token:int>>"
     out = docs.select("*", F.lit(None).cast(kind).alias("hits"))
     for ids, texts in blocks(bench, block_items, block_mb):

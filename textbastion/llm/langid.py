@@ -145,7 +145,8 @@ def _letter(t: str | None) -> bool:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus lang_pred, score and proportions (map of language to share)."""
+    """All columns of ``docs`` plus (or with, where they are there) lang_pred, score and proportions (map of language to share)."""
+    docs = docs.drop("lang_pred", "score", "proportions")
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

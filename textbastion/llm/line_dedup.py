@@ -154,7 +154,8 @@ def shards(scratch: Scratch, keys: DataFrame, per_shard: int = 50_000) -> tuple[
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, round_mb: int = 64) -> DataFrame:
-    """All columns of ``docs`` plus n_lines, n_dropped and kept_text (null texts give the empty text)."""
+    """All columns of ``docs`` plus (or with, where they are there) n_lines, n_dropped and kept_text (null texts give the empty text)."""
+    docs = docs.drop("n_lines", "n_dropped", "kept_text", "__drop")
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
     built, of = shards(scratch, repeated_lines(docs, min_chars, min_docs))

@@ -167,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms:
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
-    """All columns of ``docs`` plus toxicity (double) and evidence (doc_ids of the nearest examples)."""
+    """All columns of ``docs`` plus (or with, where they are there) toxicity (double) and evidence (doc_ids of the nearest examples)."""
+    docs = docs.drop("toxicity", "evidence")
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
