@@ -14,7 +14,7 @@ Equal sets are one set throughout, so thousands of copies cost one. The join wor
 The token order is a sketch of all tokens' counts (2 ** SKETCH_BITS cells, levels in steps of a doubling, 1 MB broadcast) and then the hash; any
 order gives the same result, this one keeps passages that many documents share out of the prefixes.
 
-Sets travel only to be verified: the texts of the documents in candidate pairs are dealt by (leader, salt), so a leader with thousands
+Candidates first have to pass a bitmap of their tokens' parities (two bits a token), which never loses a link. Sets travel only to be verified: the texts of the documents in candidate pairs are dealt by (leader, salt), so a leader with thousands
 of followers is spread over many tasks. Lists are packed into blobs per token bucket; the number of buckets grows with the input.
 
 Defined cases: null or blank text: empty set, no link; repeated rows are equal sets; rows that repeat a doc_id with another text are one vertex
@@ -77,34 +77,63 @@ def _signature(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum() + U64(len(s))], np.uint64))[0].view(np.int64))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the tokens per bit, over the least power of two of bits that is at least twice the set (64 at least)."""
+    m = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & U64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
+    """Whether the differing bits leave room for a link: they are no more than the symmetric difference, which is at most (na + nb) / 7."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    elif len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return 7 * int(np.bitwise_count(x ^ y).sum()) <= na + nb
+
+
 def prefixes(docs: DataFrame, levels) -> DataFrame:
-    """(doc_id, sig, n, head, prefix): tokens are in the global order; empty sets have n = 0 and nulls."""
+    """(doc_id, sig, n, head, prefix, bits): tokens are in the global order; empty sets have n = 0 and nulls."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = levels.value
         for batch in batches:
             for b in slices(batch):
-                sig, n, head, prefix = [], [], [], []
+                sig, n, head, prefix, bits = [], [], [], [], []
                 for s in shingle_sets(b.column("text")):
                     n.append(len(s))
                     if not len(s):
-                        sig.append(None), head.append(None), prefix.append(None)
+                        sig.append(None), head.append(None), prefix.append(None), bits.append(None)
                         continue
-                    sig.append(_signature(s))
+                    sig.append(_signature(s)), bits.append(bitmap(s))
                     lv = order[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                     if lv.any():
                         s = s[np.argsort(lv, kind="stable")]
                     p = s[: len(s) - (3 * len(s) + 3) // 4 + 1]
                     head.append(p[:HEAD].view(np.int64).tolist()), prefix.append(p.tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(head, pa.list_(pa.int64())), pa.array(prefix, pa.binary())], ["doc_id", "sig", "n", "head", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(head, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "sig", "n", "head", "prefix", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, sig long, n int, head array<long>, prefix binary, bits binary")
+
+
+def plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps don't rule a link out; no link is lost."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = pa.array([_may_link(*x) for x in zip(*(b.column(c).to_pylist() for c in ("xa", "xb", "na", "nb")))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
-    return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, sig long, n int, head array<long>, prefix binary")
+    side = lambda c: rows.where("n > 0").select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long").distinct()
 
 
-def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, per_star: int = 200, per_task: int = 1500) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose sets link."""
+def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, rows: DataFrame, per_star: int = 200, per_task: int = 1500) -> DataFrame:
+    """Those pairs (a, b) of doc_ids whose sets link; ``rows`` has the documents' bitmaps."""
     spark = scratch.spark
-    pairs = scratch.keep(pairs)
+    pairs = scratch.keep(plausible(scratch.keep(pairs), rows))
     size = scratch.keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")))
     salted = scratch.keep(pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.expr(f"(size + {per_star - 1}) div {per_star}")).alias("salt")))
     need = scratch.keep(salted.select(F.col("b").alias("id"), "a", "salt").unionByName(salted.select(F.col("a").alias("id"), "a", "salt").distinct()))
@@ -220,12 +249,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     levels = spark.sparkContext.broadcast(token_levels(docs))
     rows = scratch.keep(prefixes(docs, levels))
     sets = scratch.keep(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("id"), F.first("head").alias("head")))
-    links = verify(scratch, docs, leader_pairs(scratch, sets))
+    links = verify(scratch, docs, leader_pairs(scratch, sets), rows)
     first = scratch.keep(components(scratch, links))
     known = scratch.keep(sets.select("id", "n").distinct().join(first, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp")))
     indexed = rows.select(F.col("doc_id").alias("id"), "n", "prefix").where("n > 0").join(known.hint("shuffle_hash"), ["id", "n"]).select("id", "n", "comp", "prefix")
     tokens = rows.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    more = verify(scratch, docs, candidate_pairs(scratch, indexed, int(tokens)))
+    more = verify(scratch, docs, candidate_pairs(scratch, indexed, int(tokens)), rows)
     comp = scratch.keep(components(scratch, links.unionByName(more)))
     known = scratch.keep(sets.select("sig", "n", "id").join(comp, "id", "left").select("sig", "n", F.coalesce("comp", "id").alias("comp")))
     meta = rows.select("doc_id", "n", "sig")
