@@ -47,7 +47,8 @@ def contains_any(t: Column, values: list[str]) -> Column:
 
 
 def has_phrase_native(t: Column, phrases: list[str] | None = None) -> Column:
-    return contains_any(ascii_lower(t), phrases or C.INJECTION_PHRASES)
+    # the array binds the folded text, which would be computed anew for each phrase otherwise
+    return F.exists(F.array(ascii_lower(t)), lambda low: contains_any(low, phrases or C.INJECTION_PHRASES))
 
 
 _AUTOMATA: dict[tuple[str, ...], object] = {}
