@@ -3,7 +3,8 @@
 A document's set holds its distinct 5-word shingles; two documents link when intersection / union >= 0.75 (exactly, in integers).
 Equal sets are one set throughout, so thousands of copies cost one. The join works in two rounds over inverted lists:
 
-* Round one lists every set under a few of its least frequent tokens, and verifies each set against one leader a list. Sets that
+* Round one lists every set under a few tokens with the least hash, which near copies mostly share however frequent they are, and a few of its
+  least frequent ones, and verifies each set against one leader a list. Sets that
   share a component afterwards need no further answers of each other: what is known for the leader is known for them
   (answer-level skipping). This takes a number of pairs linear in the rows, whatever the size of a group.
 * Round two indexes the full prefixes (the least frequent quarter of a set, which any partner shares a token with). Lists are sorted
@@ -35,7 +36,8 @@ from .common import Scratch, components, mix, partitions, shingle_sets, slices,
 SKETCH_BITS = 20
 CELLS = 1 << SKETCH_BITS
 PARTS = 64
-HEAD = 4
+#: Tokens of a set that get it a leader: so many with the least hash, and so many that are least frequent.
+LEAST, RARE = 4, 2
 U64 = np.uint64
 
 
@@ -108,11 +110,12 @@ def prefixes(docs: DataFrame, levels) -> DataFrame:
                         sig.append(None), head.append(None), prefix.append(None), bits.append(None)
                         continue
                     sig.append(_signature(s)), bits.append(bitmap(s))
+                    least = s[:LEAST]
                     lv = order[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                     if lv.any():
                         s = s[np.argsort(lv, kind="stable")]
                     p = s[: len(s) - (3 * len(s) + 3) // 4 + 1]
-                    head.append(p[:HEAD].view(np.int64).tolist()), prefix.append(p.tobytes())
+                    head.append(np.union1d(least, p[:RARE]).view(np.int64).tolist()), prefix.append(p.tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(head, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "sig", "n", "head", "prefix", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, sig long, n int, head array<long>, prefix binary, bits binary")
