@@ -191,3 +191,58 @@ def test_pipeline_keeps_clean_documents(spark):
     n = spark.read.parquet(f"{DIR}/documents.parquet").count()
     kept = corpus_pipeline.run(spark, DIR).select("doc_id").distinct().count()
     assert 0.5 * n < kept < n
+
+
+def key_of(line):
+    return line.strip(" \t\n\v\f\r").translate({c: c + 32 for c in range(65, 91)})
+
+
+def brute_line_dedup(texts):
+    holders = defaultdict(set)
+    for i, t in texts.items():
+        for line in (t or "").split("\n"):
+            if len(key_of(line)) >= 40:
+                holders[key_of(line)].add(i)
+    common = {k: max(ids) for k, ids in holders.items() if len(ids) >= 5}
+    return {i: None if t is None else "\n".join(x for x in t.split("\n") if common.get(key_of(x), i) == i) for i, t in texts.items()}
+
+
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    def texts(df):
+        return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+    source = spark.read.parquet(f"{DIR}/documents.parquet")
+    stages, seen = dict(corpus_pipeline.STAGES), {}
+    df = source
+    for name, stage in list(stages.items())[:-1]:
+        stage(spark, df, DIR).write.parquet(f"{tmp_path}/{name}")
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        assert df.columns == source.columns
+        seen[name] = texts(df)
+    before = texts(source)
+    assert seen["toxicity"] == {i: before[i] for i in seen["toxicity"]}
+    assert seen["line_dedup"] == brute_line_dedup(seen["toxicity"])
+    comp = brute_components({i: shingles(t) for i, t in seen["line_dedup"].items()})
+    assert seen["ngram_jaccard_join"] == {i: t for i, t in seen["line_dedup"].items() if comp[i] == i}
+    assert seen["benchmark_decontamination"] == {i: seen["ngram_jaccard_join"][i] for i in seen["benchmark_decontamination"]}
+    packed = {r.doc_id for r in corpus_pipeline.run(spark, DIR).select("doc_id").distinct().collect()}
+    assert packed == set(seen["benchmark_decontamination"])
+
+
+def test_jaccard_join_groups_of_near_copies(spark):
+    """Copies that each differ in places of their own: the least frequent shingles of each are its own."""
+    from textbastion.llm.jaccard_join import near_duplicates
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.integers(0, 120, i % 5):
+            w[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(w)))
+    want = brute_components({i: shingles(t) for i, t in rows})
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
