@@ -111,6 +111,16 @@ def dedup_scan(spark, d):
     return p.select("doc_id", "key").join(once, "key").select("doc_id", "verdict")
 
 
+@query("dedup_scan_whole", f"WITH planted AS ({PLANTED_SQL}) SELECT doc_id, {SQL_VERDICT} AS verdict FROM planted")
+def dedup_scan_whole(spark, d):
+    """``dedup_scan`` keyed and scanned on whole texts, where it takes the first 200 characters."""
+    from ..operators.scan import native_verdict
+
+    p = planted(spark, d).select("doc_id", "text", F.sha2("text", 256).alias("key"))
+    once = p.groupBy("key").agg(F.first("text").alias("text")).select("key", native_verdict(F.col("text")).alias("verdict"))
+    return p.select("doc_id", "key").join(once, "key").select("doc_id", "verdict")
+
+
 _TAINTS = "(hook_event_name = 'PostToolUse' AND contains(lower(content), 'ignore all'))"
 
 
