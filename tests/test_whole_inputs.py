@@ -11,3 +11,44 @@ def test_dedup_scan_reads_behind_character_200(spark):
     long = {r.doc_id for r in planted(spark, DIR).where("length(text) > 300").collect() if r.text.endswith(PHRASE)}
     got = {r.doc_id: r.verdict for r in registry.QUERIES["dedup_scan_whole"](spark, DIR).collect()}
     assert long and {got[i] for i in long} == {"injection"}
+
+
+def test_decoders_read_whole_documents(spark):
+    """A document in one encoding decodes to itself up to the 4096 bytes that a decoder may give, and the scan finds the phrase at its end."""
+    from collections import Counter
+    from math import log2
+
+    from textbastion.plans import registry
+    from textbastion.sources.planting import PHRASE, encoded
+
+    texts = {r.doc_id: (r.text or "") + " " + PHRASE for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()}
+    rows = {r.doc_id: r for r in encoded(spark, DIR).collect()}
+    assert set(rows) == set(texts)
+    ask = lambda name, column: {r.doc_id: r[column] for r in registry.QUERIES[name](spark, DIR).collect()}
+    verdicts = ask("fast_scan_whole", "verdict")
+    assert set(verdicts) == set(texts)
+    found = Counter()
+    for form in ("base64", "hex", "url"):
+        got = ask(f"decode_{form}_whole", "decoded")
+        assert set(got) == set(texts)
+        for i, t in texts.items():
+            if rows[i].form == form:
+                short = len(t.encode()) <= 4096
+                assert got[i] == (t if short else None), (form, i)
+                if short:
+                    assert verdicts[i] == "injection", (form, i)
+                    found[form] += len(t) > 200
+    assert all(found[f] for f in ("base64", "hex", "url")), found
+    rot, html = ask("decode_rot13_whole", "decoded"), ask("decode_html_whole", "decoded")
+    for i, t in texts.items():
+        letters = sum(c.isascii() and c.isalpha() for c in t)
+        if rows[i].form == "rot13":
+            assert rot[i] == (t if letters >= 8 and letters * 2 >= len(t.encode()) else None), i
+        if rows[i].form == "html":
+            whole = rows[i].text
+            assert html[i] == (t if whole != t and ";" in whole and len(t.encode()) <= 4096 else None), i
+            assert verdicts[i] == "injection", i
+    got = ask("entropy_whole", "entropy")
+    for i, r in rows.items():
+        b = r.text.encode()
+        assert abs(got[i] - sum(-k / len(b) * log2(k / len(b)) for k in Counter(b).values())) < 1e-5, i

@@ -9,7 +9,7 @@ from ..functions import catalogs as C
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import ml, scan
-from ..sources.planting import PAYLOADS_SQL, PLANTED_SQL, payloads, planted, quoted, values_df, values_sql
+from ..sources.planting import PAYLOADS_SQL, PLANTED_SQL, encoded, payloads, planted, quoted, values_df, values_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -142,6 +142,27 @@ def entropy(spark, d):
     return payloads(spark, d).select("doc_id", F.round(T.entropy(F.col("payload")), 6).alias("entropy"))
 
 
+def per_document(name: str, column: str, expr) -> None:
+    """The decoder on whole documents; the tests state what it gives."""
+    query(name)(lambda spark, d: encoded(spark, d).select("doc_id", expr(F.col("text")).alias(column)))
+
+
+per_document("decode_base64_whole", "decoded", T.decode_base64)
+per_document("decode_hex_whole", "decoded", T.decode_hex)
+per_document("decode_url_whole", "decoded", T.decode_url)
+per_document("decode_rot13_whole", "decoded", T.decode_rot13)
+per_document("decode_html_whole", "decoded", T.decode_html)
+per_document("normalize_text_whole", "decoded", T.normalize_text)
+per_document("decode_variants_whole", "variants", T.decode_variants)
+per_document("entropy_whole", "entropy", lambda t: F.round(T.entropy(t), 6))
+
+
+@query("fast_scan_whole")
+def fast_scan_whole(spark, d):
+    """The scan with the decode stage on whole documents, encoded or with a payload beside them."""
+    return scan.fast_scan(encoded(spark, d)).select("doc_id", "verdict", "layer")
+
+
 _REGION_TEXTS = ["0123456789abcdefghijklmnopqrstuv", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "short", "k3J9xQ2mZ7pL0vB8nT4wR6yU1sD5fG=="]
 
 

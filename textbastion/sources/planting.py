@@ -56,6 +56,24 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.when(F.col("doc_id") % n == n - 1, own).otherwise(_pick([*PAYLOADS, ""], "doc_id")).alias("payload"))
 
 
+#: Forms of ``encoded`` by doc_id.
+FORMS = ["base64", "hex", "url", "rot13", "html", "beside"]
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, form and text: the whole document and the phrase in one encoding, or the whole document with a payload beside it."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("own"))
+    t = F.concat("own", F.lit(" " + PHRASE))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rot = F.translate(t, upper + lower, upper[13:] + upper[:13] + lower[13:] + lower[:13])
+    url = F.replace(F.url_encode(t), F.lit("+"), F.lit("%20"))
+    html = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    beside = F.concat("own", F.lit(" "), _pick(PAYLOADS, "doc_id"))
+    made = {"base64": F.base64(F.encode(t, "UTF-8")), "hex": F.hex(F.encode(t, "UTF-8")), "url": url, "rot13": rot, "html": html, "beside": beside}
+    d = d.withColumn("form", _pick(FORMS, "doc_id"))
+    return d.select("doc_id", "form", F.coalesce(*(F.when(F.col("form") == f, made[f]) for f in FORMS)).alias("text"))
+
+
 def values_sql(name: str, columns: dict[str, str], rows: list[tuple]) -> str:
     """A common table expression of literal rows; ``columns`` maps names to DuckDB types."""
 
