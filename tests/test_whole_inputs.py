@@ -52,3 +52,17 @@ def test_decoders_read_whole_documents(spark):
     for i, r in rows.items():
         b = r.text.encode()
         assert abs(got[i] - sum(-k / len(b) * log2(k / len(b)) for k in Counter(b).values())) < 1e-5, i
+
+
+def test_toxicity_counts_document_frequencies_over_all_documents(spark):
+    import numpy as np
+    import pyarrow as pa
+    from textbastion.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.select("text").collect()]
+    h, first = toxicity.terms(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))
+    own = [set(h[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
+    df = np.array([sum(int(t) in x for x in own) for t in index.vocabulary])
+    assert len(df) and np.allclose(index.idf, np.log((len(texts) + 1) / (df + 0.5)), atol=1e-5)

@@ -1,7 +1,7 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found through a block-max index.
 
 ``fit`` learns from a bounded sample of labelled rows (``max_examples``, half toxic and half not where there are enough, chosen by the
-hash of doc_id): the vocabulary (at most ``max_terms`` words that toxic examples use more, by a chi-square of ``min_z`` ** 2), inverse document frequencies and the examples' unit TF-IDF vectors, in blocks of similar examples.
+hash of doc_id): the vocabulary (at most ``max_terms`` words that toxic examples use more, by a chi-square of ``min_z`` ** 2), the examples' unit TF-IDF vectors, in blocks of similar examples. Inverse document frequencies are counted over all documents, in a pass of its own.
 For each block the index holds every term's largest weight. A document's score needs its ``k`` nearest examples: blocks are
 visited by falling bound, and skipped once the bound (document's weights times the block's maxima) can't reach the document's
 k-th best cosine; within a visited block all cosines are exact. Votes are weighted by cosine ** 2 and by how many rows an
@@ -128,6 +128,32 @@ def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[list,
     return texts.mapInArrow(vectors, "doc_id long, toxic int, h binary, n binary").collect(), share
 
 
+def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of the vocabulary (sorted) is, and the number of documents."""
+    size = len(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, df, n = sent.value, np.zeros(size + 1, np.int64), 0
+        for batch in batches:
+            for b in slices(batch):
+                h, first = terms(b)
+                at = np.searchsorted(voc, h)
+                at[at == size] = 0
+                hit = np.flatnonzero(voc[at] == h) if size else np.zeros(0, np.int64)
+                row = np.searchsorted(first, hit, "right") - 1
+                df += np.bincount(np.unique(row * (size + 1) + at[hit]) % (size + 1), minlength=size + 1)
+                n += b.num_rows
+        df[size] = n  # the last place holds the number of documents
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(df)], ["at", "n"])
+
+    out = np.zeros(size + 1, np.int64)
+    # one row for each term
+    for r in docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out[:size], int(out[size])
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms: int = 1024, min_z: float = 4.0, k: int = 15) -> Index:
     rows, share = sample(docs, labels, max_examples)
     rows.sort(key=lambda r: (r.doc_id, r.h))
@@ -144,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms:
     pick = np.argsort(-z, kind="stable")[:max_terms]
     told = pick[z[pick] >= min_z]
     pick = np.sort(told if len(told) else pick)
-    df = n1[pick] + n0[pick]
-    index = Index(voc[pick], np.log((len(rows) + 1) / (df + 0.5)).astype(np.float32), None, None, None, None, None, share, share, k)
+    df, total = frequencies(docs, voc[pick])
+    index = Index(voc[pick], np.log((total + 1) / (df + 0.5)).astype(np.float32), None, None, None, None, None, share, share, k)
     vectors = np.zeros((len(rows), len(pick)), np.float32)
     for i, (r, h) in enumerate(zip(rows, own)):
         j = np.searchsorted(index.vocabulary, h)
