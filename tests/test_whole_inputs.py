@@ -66,3 +66,25 @@ def test_toxicity_counts_document_frequencies_over_all_documents(spark):
     own = [set(h[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
     df = np.array([sum(int(t) in x for x in own) for t in index.vocabulary])
     assert len(df) and np.allclose(index.idf, np.log((len(texts) + 1) / (df + 0.5)), atol=1e-5)
+
+
+def test_sessions_and_taints_take_all_projects(spark):
+    from datetime import timedelta
+
+    from textbastion.operators.state import sessions_by_day
+    from textbastion.plans import registry
+    from textbastion.sources.planting import hook_events
+
+    events = hook_events(spark, DIR).collect()
+    got = registry.QUERIES["daemon_sessions_whole"](spark, DIR).collect()
+    assert sum(r.n for r in got) == len(events)
+    for idle in ("20 minutes", "3 hours", "40 days"):
+        want, last = [], None
+        for ts in sorted(r.ts for r in events):
+            if last is None or ts > last + timedelta(**{idle.split()[1]: int(idle.split()[0])}):
+                want.append([ts, 0])
+            want[-1][1] += 1
+            last = ts
+        assert sorted((r.start, r.n) for r in sessions_by_day(hook_events(spark, DIR).select("ts"), idle).collect()) == sorted(map(tuple, want)), idle
+    taints = {r.event_id for r in events if r.hook_event_name == "PostToolUse" and "ignore all" in r.content.lower()}
+    assert {r.event_id for r in registry.QUERIES["taint_events_whole"](spark, DIR).collect()} == taints

@@ -141,6 +141,14 @@ def daemon_sessions(spark, d):
     return s.select(F.col("start").cast("timestamp_ntz").alias("started"), "n")
 
 
+@query("daemon_sessions_whole", f"""{WITH}, q AS (SELECT ts, CASE WHEN ts <= lag(ts) OVER (ORDER BY ts) + INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM ev),
+g AS (SELECT ts, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM q) SELECT min(ts) AS started, count(*) AS n FROM g GROUP BY g""")
+def daemon_sessions_whole(spark, d):
+    """``daemon_sessions`` over the requests of all projects."""
+    s = S.sessions_by_day(hook_events(spark, d).select("ts"), "20 minutes")
+    return s.select(F.col("start").cast("timestamp_ntz").alias("started"), "n")
+
+
 @query("guard_scan", f"""{WITH}, {_GUARD}, files AS (SELECT event_id, project AS repo, path, content, sha256(content) AS hash FROM ev),
 v AS (SELECT event_id, repo, path, ts_rank, text FROM (SELECT f.event_id, f.repo, f.path, f.content AS text, f.event_id AS ts_rank FROM files f ANTI JOIN guard g ON f.repo = g.repo AND f.path = g.path AND f.hash = g.hash)),
 w AS (SELECT repo, event_id, path, {SQL_VERDICT} AS verdict FROM v)
