@@ -88,3 +88,47 @@ def test_sessions_and_taints_take_all_projects(spark):
         assert sorted((r.start, r.n) for r in sessions_by_day(hook_events(spark, DIR).select("ts"), idle).collect()) == sorted(map(tuple, want)), idle
     taints = {r.event_id for r in events if r.hook_event_name == "PostToolUse" and "ignore all" in r.content.lower()}
     assert {r.event_id for r in registry.QUERIES["taint_events_whole"](spark, DIR).collect()} == taints
+
+
+def brute_floor(text, at):
+    """Byte offset ``at`` or, inside a character, the start of that character."""
+    n = 0
+    for c in text:
+        size = len(c.encode())
+        if n + size > at:
+            return n
+        n += size
+    return n
+
+
+def brute_pieces(text):
+    raw, out, start = text.encode(), [], 0
+    if len(raw) <= 256:
+        return [text], None
+    while start < len(raw):
+        piece = raw[start : brute_floor(text, start + 256)].decode()
+        if piece.strip():
+            out.append(piece)
+        start = brute_floor(text, start + 231)
+    ends = raw[: brute_floor(text, 512)].decode() + " " + raw[brute_floor(text, len(raw) - 512) :].decode()
+    return out, ends if len(raw) > 1024 else None
+
+
+def test_chunks_and_scores_take_original_texts(spark):
+    from textbastion.plans import registry
+    from textbastion.sources.planting import planted
+
+    def score(t, weight):
+        return min(1.0, sum(t.lower().count(w) for w in ("ignore", "instructions", "system", "prompt")) * weight)
+
+    texts = {r.doc_id: r.text for r in planted(spark, DIR).collect()}
+    assert any(not t.isascii() and "\n" in t and len(t) > 1024 for t in texts.values())
+    want = {i: brute_pieces(t) for i, t in texts.items()}
+    chunks = {(r.doc_id, r.chunk_no): r.chunk for r in registry.QUERIES["chunks_whole"](spark, DIR).collect()}
+    assert chunks == {(i, k): c for i, (cs, _) in want.items() for k, c in enumerate(cs)}
+    assert {r.doc_id: r.head_tail for r in registry.QUERIES["head_tail_whole"](spark, DIR).collect()} == {i: e for i, (_, e) in want.items()}
+    got = {(r.doc_id, r.model): (r.n, round(r.best, 4)) for r in registry.QUERIES["ml_scores_whole"](spark, DIR).collect()}
+    every = {i: cs + ([e] if e is not None else []) for i, (cs, e) in want.items()}
+    assert got == {(i, m): (len(ps), round(max(score(p, w) for p in ps), 4)) for i, ps in every.items() for m, w in (("narrow", 0.2), ("wide", 0.4))}
+    hits = {r.doc_id: r.hit for r in registry.QUERIES["ml_scan_whole"](spark, DIR).collect()}
+    assert hits == {i: any(score(p, 0.2) >= 0.5 or score(p, 0.4) >= 0.75 for p in ps) for i, ps in every.items()}

@@ -53,6 +53,19 @@ def head_tail(t: Column) -> Column:
     return F.when(F.octet_length(t) > HEAD + TAIL, F.concat(F.substring(t, F.lit(1), F.lit(HEAD)), F.lit(" "), F.substring(t, -F.lit(TAIL), F.lit(TAIL))))
 
 
+def join_ends(t: str) -> str | None:
+    """``head_tail`` for any text: both cuts moved back to a character."""
+    raw = t.encode()
+    if len(raw) <= HEAD + TAIL:
+        return None
+    return raw[: _floor(raw, HEAD)].decode() + " " + raw[_floor(raw, len(raw) - TAIL) :].decode()
+
+
+@F.pandas_udf(StringType())
+def head_tail_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else join_ends(t))
+
+
 def injection_probability(logits: Column) -> Column:
     """One less the softmax of class 0; fewer than two logits give 0."""
     top = F.array_max(logits)
@@ -109,8 +122,8 @@ def score_chunks(df: DataFrame, key: str, models: list[Model], text: str = "text
     The models are a handful of literals, exploded beside the chunks, so no join and no shuffle is needed.
     """
     t = F.col(text)
-    parts = chunks_udf(t) if exact else chunks(t)
-    pieces = df.select(key, F.concat(parts, F.coalesce(F.filter(F.array(head_tail(t)), lambda x: x.isNotNull()), F.array().cast("array<string>"))).alias("c"))
+    parts, ends = (chunks_udf(t), head_tail_udf(t)) if exact else (chunks(t), head_tail(t))
+    pieces = df.select(key, F.concat(parts, F.coalesce(F.filter(F.array(ends), lambda x: x.isNotNull()), F.array().cast("array<string>"))).alias("c"))
     rows = pieces.select(key, F.posexplode("c").alias("chunk_no", "chunk"))
     scored = rows.select(key, "chunk_no", F.explode(F.array(*(F.struct(F.lit(m.name).alias("model"), F.lit(m.threshold).cast("float").alias("threshold"), m.score(F.col("chunk")).alias("score")) for m in models))).alias("m"))
     return scored.select(key, "m.model", "m.threshold", "chunk_no", "m.score")

@@ -252,6 +252,35 @@ def full_scan(spark, d):
     return scan.full_scan(planted(spark, d), score, "doc_id", decode=False).select("doc_id", "verdict")
 
 
+@query("chunks_whole")
+def chunks_whole(spark, d):
+    """``chunks`` of the original texts."""
+    return planted(spark, d).select("doc_id", F.posexplode(ml.chunks_udf(F.col("text"))).alias("chunk_no", "chunk"))
+
+
+@query("head_tail_whole")
+def head_tail_whole(spark, d):
+    return planted(spark, d).select("doc_id", ml.head_tail_udf(F.col("text")).alias("head_tail"))
+
+
+@query("ml_scores_whole")
+def ml_scores_whole(spark, d):
+    s = ml.score_chunks(planted(spark, d), "doc_id", ml.STUBS)
+    return s.groupBy("doc_id", "model").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score").cast("double"), 5).alias("best"))
+
+
+@query("ml_scan_whole")
+def ml_scan_whole(spark, d):
+    return ml.ensemble(ml.score_chunks(planted(spark, d), "doc_id", ml.STUBS), "doc_id", 0.5).select("doc_id", "hit")
+
+
+@query("full_scan_whole")
+def full_scan_whole(spark, d):
+    """The decode stage on, and the stub on the original texts that the fast scan leaves clean."""
+    score = lambda df: ml.ensemble(ml.score_chunks(df, "doc_id", ml.STUBS), "doc_id", 0.3)
+    return scan.full_scan(planted(spark, d), score, "doc_id").select("doc_id", "verdict")
+
+
 _LOGITS = [[0.0, 5.0], [5.0, 0.0, 0.0], [1.0], [], [-1.5, 2.0, 0.25], [1000.0, 999.0]]
 
 
