@@ -246,3 +246,58 @@ def test_jaccard_join_groups_of_near_copies(spark):
     want = brute_components({i: shingles(t) for i, t in rows})
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def brute_links(sets):
+    """n_links of each document by comparing all pairs."""
+    n = dict.fromkeys(sets, 0)
+    ids = list(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                n[a] += 1
+                n[b] += 1
+    return n
+
+
+def near_group(rng, size, words, most, first=0):
+    """Texts that each replace, drop or add some words of one text."""
+    base = [f"w{x}" for x in rng.integers(0, 10**6, words)]
+    out = {}
+    for i in range(size):
+        w = list(base)
+        for _ in range(int(rng.integers(0, most + 1))):
+            at = int(rng.integers(0, len(w)))
+            kind = int(rng.integers(0, 3))
+            w[at : at + 1] = [[f"n{int(rng.integers(0, 50))}"], [], [w[at], "extra"]][kind]
+        out[first + i] = " ".join(w)
+    return out
+
+
+def test_jaccard_join_counts_links_within_near_groups(spark, monkeypatch):
+    from textbastion.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    rng = np.random.default_rng(5)
+    texts = near_group(rng, 150, 120, 9) | near_group(rng, 60, 30, 4, 200) | near_group(rng, 100, 400, 40, 300)
+    texts |= {500 + i: texts[i] for i in range(20)}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    want, links = brute_components(sets), brute_links(sets)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == {i: (want[i], links[i]) for i in texts}
+
+
+def test_words_of_a_regular_build_do_not_collide(spark):
+    from textbastion.llm.jaccard_join import near_duplicates
+
+    a = "a"
+    for _ in range(12):
+        a += a.translate({97: 98, 98: 97})
+    rows, ids = [], 0
+    for size in (1024, 2048, 4096):
+        for w in (a[:size], a[:size].translate({97: 98, 98: 97})):
+            rows.append((ids, f"one two three {w}"))
+            ids += 1
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id and r.n_links == 0 for r in got)

@@ -10,6 +10,7 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +32,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = f"{tempfile.gettempdir()}/checkpoints"  # one machine
         self.root = f"{root.rstrip('/')}/tb-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -125,26 +130,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_PLACES: dict[str, np.ndarray] = {}
+
+
+def places(n: int) -> np.ndarray:
+    """A random odd 64-bit factor for each of the first n places of a word, kept for the largest n so far."""
+    if len(_PLACES.get("by", ())) < n:
+        _PLACES["by"] = np.random.Generator(np.random.PCG64(20240608)).integers(1, 1 << 63, max(n, 1 << 10), dtype=np.uint64) * U64(2) + U64(1)
+    return _PLACES["by"][:n]
+
+
 def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray = LOWER, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word ``[^\\x20\\x09-\\x0D]+`` (or of bytes not in ``space``; case folded by ``table``), and the index of its first word for each text.
 
-    Returns (hashes, first) with ``first`` of length n + 1.
+    Returns (hashes, first) with ``first`` of length n + 1. The hash is multilinear: each place of a word has a random factor
+    of its own, so that words of any regular build collide no more often than others.
     """
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     gap = space[raw]
+    inside = np.flatnonzero(~gap)
+    if not len(inside):
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     start = ~gap
-    stop = ~gap
     cut = np.zeros(len(raw) + 1, bool)
     cut[off] = True
     start[1:] &= gap[:-1] | cut[1:-1]
-    stop[:-1] &= gap[1:] | cut[1:-1]
-    s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(table[raw] * up[:-1], out=total[1:])
-    h = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * MULT)
-    return h, np.searchsorted(s, off)
+    s = np.flatnonzero(start)
+    at = np.flatnonzero(start[inside])
+    length = np.diff(at, append=len(inside))
+    h = np.add.reduceat(table[raw[inside]] * places(int(length.max()))[inside - np.repeat(s, length)], at)
+    return mix(h + length.astype(np.uint64) * MULT), np.searchsorted(s, off)
 
 
 SHINGLE = 5

@@ -1,269 +1,508 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A document's set holds its distinct 5-word shingles; two documents link when intersection / union >= 0.75 (exactly, in integers).
-Equal sets are one set throughout, so thousands of copies cost one. The join works in two rounds over inverted lists:
-
-* Round one lists every set under a few tokens with the least hash, which near copies mostly share however frequent they are, and a few of its
-  least frequent ones, and verifies each set against one leader a list. Sets that
-  share a component afterwards need no further answers of each other: what is known for the leader is known for them
-  (answer-level skipping). This takes a number of pairs linear in the rows, whatever the size of a group.
-* Round two indexes the full prefixes (the least frequent quarter of a set, which any partner shares a token with). Lists are sorted
-  by size; an entry at position p of a set of n tokens can only reach partners up to a size that falls with p, so the rest
-  of the list is skipped from there on (index-level skipping by position); lists of one component are skipped as a whole; and of the
-  rest only pairs of different components are candidates. Those are verified and complete the components.
-
-The token order is a sketch of all tokens' counts (2 ** SKETCH_BITS cells, levels in steps of a doubling, 1 MB broadcast) and then the hash; any
-order gives the same result, this one keeps passages that many documents share out of the prefixes.
-
-Candidates first have to pass a bitmap of their tokens' parities (two bits a token), which never loses a link. Sets travel only to be verified: the texts of the documents in candidate pairs are dealt by (leader, salt), so a leader with thousands
-of followers is spread over many tasks. Lists are packed into blobs per token bucket; the number of buckets grows with the input.
-
-Defined cases: null or blank text: empty set, no link; repeated rows are equal sets; rows that repeat a doc_id with another text are one vertex
-that has the links of either; a null doc_id takes the component of an equal set or null; an empty table gives no rows.
+Equal sets are one set throughout, so thousands of copies cost one.
+
+1. *Repeated tokens.* A token that only one set holds leads to no partner, and a linked set shares at least 3/4 of its tokens; sets
+   with fewer repeated tokens leave (``alive_sets``). The counts are exact, in buckets of tokens dealt by hash.
+2. *Leaders.* Each set that stays is listed under the few of its repeated tokens with the least hash; the set of such a list with the smallest
+   share of tokens of its own leads, and the others follow it where they overlap enough. A follower is kept as what differs from its leader:
+   D, the leader's tokens it lacks, and A, the tokens it adds.
+3. *Index-level skipping.* The prefixes (the least frequent quarter of a set by exact counts, which any partner shares a token with) form inverted
+   lists. A list holds one entry for each leader in it, for all its followers there; an entry at position p can only reach partners up to a size that
+   falls with p, so the blocks of the list sorted by size are skipped from there on. This gives each leader L its answers A(L): its followers and the sets of
+   other leaders that one of its followers may link with. A group of near copies with one leader gives no pairs but (leader, follower).
+4. *Answer-level skipping.* The answers of every follower come out of its leader's: with ``w = 4|D| + 3|A|``, sets M and N link if and only if
+   ``w(M) + w(N) <= |L| + 7c``, where c counts what D and A of M and N have in common. Where the sum stays within ``|L|`` the link is certain
+   without looking at any token; for the others c is derived from the differences, never from the sets. A leader with many followers is dealt in blocks of followers,
+   each read against the leader's answers as they stream by. Links are counted, not written; what connects components is written, at most about one edge a set and block.
+
+Defined cases: null or blank text: empty set, no link; repeated rows are equal sets and link with each other; rows that repeat a doc_id with another text are one vertex
+that has the links of either, and n_links counts rows; a null doc_id takes the component of an equal set or null and counts in nobody's links; an empty table gives no rows; extra columns are not read.
+The memory of a task is bounded by its slice of texts, its bucket of tokens, and the longest set (8 bytes a word); a set is never split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mix, partitions, shingle_sets, slices, table
+from .common import Scratch, components, partitions, shingle_sets, slices, table
 
-SKETCH_BITS = 20
-CELLS = 1 << SKETCH_BITS
-PARTS = 64
-#: Tokens of a set that get it a leader: so many with the least hash, and so many that are least frequent.
-LEAST, RARE = 4, 2
+#: Tokens that get a set its leader, overlap (in percent) with a leader to follow it, followers in a block, tokens in a bucket.
+HEADS, FOLLOW, BLOCK, BUCKET = 6, 40, 1024, 500_000
 U64 = np.uint64
+LOW = U64((1 << 32) - 1)
 
 
-def token_levels(docs: DataFrame) -> np.ndarray:
-    """Level of each sketch cell: 0 up to 8 times the mean count, one more for each doubling."""
+def signature(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+
+def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
+    """Tokens that a set of n shares with any partner at least."""
+    return (3 * n + 3) // 4
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, sig, n, slack): 128-bit hash and size of the set; slack counts tokens that share their low half with another of the set."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
-                sets = shingle_sets(b.column("text"))
-                total += np.bincount((np.concatenate(sets) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=CELLS)
-        if total.any():
-            body = np.minimum(total, 65535).astype(np.uint16).reshape(PARTS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in body], pa.binary())], ["part", "body"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, body in zip(b.column("part").to_pylist(), b.column("body").to_pylist()):
-                x = np.frombuffer(body, np.uint16).astype(np.int64)
-                sums[p] = sums[p] + x if p in sums else x
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "body"])
+                sig, n, slack = [], [], []
+                for s in shingle_sets(b.column("text")):
+                    n.append(len(s)), sig.append(signature(s) if len(s) else None)
+                    slack.append(len(s) - len(np.unique(s & LOW)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(slack, pa.int32())], ["doc_id", "sig", "n", "slack"])
 
-    rows = docs.select("text").mapInArrow(count, "part int, body binary").repartition(PARTS, "part").mapInArrow(add, "part int, body binary")
-    total = np.zeros((PARTS, CELLS // PARTS), np.int64)
-    for r in rows.collect():  # 8 MB at any size of the input
-        total[r.part] += np.frombuffer(r.body, np.int64)
-    total = total.ravel()
-    return np.maximum(np.ceil(np.log2(np.maximum(total, 1) / (8 * max(1.0, total.mean())))), 0).astype(np.uint8)
+    return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, sig binary, n int, slack int")
 
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n - (3 * n + 3) // 4 + 1
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys, and the end."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    new[:1] = True
+    return np.append(np.flatnonzero(new), len(keys[0]))
 
 
-def _signature(s: np.ndarray) -> int:
-    return int(mix(np.array([mix(s).sum() + U64(len(s))], np.uint64))[0].view(np.int64))
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Groups of adjacent rows with equal (long) keys, each as an iterator of slices that has to be used up first."""
+    held: list = []
 
+    def parts() -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for b in batches:
+            if b.num_rows:
+                at = runs(*(b.column(k).to_numpy() for k in keys)).tolist()
+                for i, j in zip(at, at[1:]):
+                    yield tuple(b.column(k)[i].as_py() for k in keys), b.slice(i, j - i)
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the tokens per bit, over the least power of two of bits that is at least twice the set (64 at least)."""
-    m = max(64, 1 << int(2 * len(s) - 1).bit_length())
-    odd = np.bincount((s & U64(m - 1)).astype(np.int64), minlength=m) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    feed = parts()
 
+    def rest(key: tuple) -> Iterator[pa.RecordBatch]:
+        while held and held[0][0] == key:
+            yield held.pop()[1]
+            held.extend(x for x in [next(feed, None)] if x)
 
-def _may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
-    """Whether the differing bits leave room for a link: they are no more than the symmetric difference, which is at most (na + nb) / 7."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) > len(y):
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    elif len(y) > len(x):
-        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return 7 * int(np.bitwise_count(x ^ y).sum()) <= na + nb
+    held.extend(x for x in [next(feed, None)] if x)
+    while held:
+        yield held[0][0], rest(held[0][0])
 
 
-def prefixes(docs: DataFrame, levels) -> DataFrame:
-    """(doc_id, sig, n, head, prefix, bits): tokens are in the global order; empty sets have n = 0 and nulls."""
+def repeated(docs: DataFrame, buckets: int) -> DataFrame:
+    """(sig, rep): for each set, how many of its tokens other sets hold as well (at least that many less its slack), summed over buckets of tokens.
+
+    A task sends a set once, so a text that a third of all rows hold costs one entry a task.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        sigs: list[bytes] = []
+        sets: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            token = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+            bucket = ((token >> U64(32)) % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            at = runs(bucket[order])
+            names = np.frombuffer(b"".join(sigs), "V16")
+            out: list[list] = [[], [], [], []]
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                x = order[i:j]
+                own = owner[x]
+                u = own[runs(own)[:-1]]  # the owners ascend within a bucket
+                for col, v in zip(out, (int(bucket[x[0]]), (token[x] & LOW).astype(np.uint32).tobytes(), np.searchsorted(u, own).astype(np.uint32).tobytes(), names[u].tobytes())):
+                    col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "own", "sigs"])
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = levels.value
         for batch in batches:
             for b in slices(batch):
-                sig, n, head, prefix, bits = [], [], [], [], []
                 for s in shingle_sets(b.column("text")):
-                    n.append(len(s))
-                    if not len(s):
-                        sig.append(None), head.append(None), prefix.append(None), bits.append(None)
-                        continue
-                    sig.append(_signature(s)), bits.append(bitmap(s))
-                    least = s[:LEAST]
-                    lv = order[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
-                    if lv.any():
-                        s = s[np.argsort(lv, kind="stable")]
-                    p = s[: len(s) - (3 * len(s) + 3) // 4 + 1]
-                    head.append(np.union1d(least, p[:RARE]).view(np.int64).tolist()), prefix.append(p.tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.array(head, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "sig", "n", "head", "prefix", "bits"])
-
-    return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, sig long, n int, head array<long>, prefix binary, bits binary")
-
-
-def plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bitmaps don't rule a link out; no link is lost."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = pa.array([_may_link(*x) for x in zip(*(b.column(c).to_pylist() for c in ("xa", "xb", "na", "nb")))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+                    if len(s) and (g := signature(s)) not in seen:
+                        seen.add(g), sigs.append(g), sets.append(s)
+                        size += len(s)
+                if size > 2_000_000:
+                    yield flush()
+                    sigs, sets, size = [], [], 0
+        if sets:
+            yield flush()
 
-    side = lambda c: rows.where("n > 0").select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long").distinct()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in by_group(batches, ["bucket"]):
+            token, own, sigs, n = [], [], [], 0
+            for b in group:
+                for t, o, g in zip(b.column("token"), b.column("own"), b.column("sigs")):
+                    token.append(np.frombuffer(t.as_buffer(), np.uint32)), own.append(np.frombuffer(o.as_buffer(), np.uint32).astype(np.uint64) + U64(n))
+                    sigs.append(np.frombuffer(g.as_buffer(), "S16").copy())
+                    n += len(sigs[-1])
+            names, inverse = np.unique(np.concatenate(sigs).view("V16").view([("a", ">u8"), ("b", ">u8")]), return_inverse=True)
+            own = inverse[np.concatenate(own).astype(np.int64)].astype(np.uint64)
+            x = np.unique(np.concatenate(token).astype(np.uint64) << U64(32) | own)
+            at = runs(x >> U64(32))
+            times = np.repeat(np.diff(at), np.diff(at))
+            rep = np.bincount((x[times > 1] & LOW).astype(np.int64), minlength=len(names))
+            hit = np.flatnonzero(rep)
+            body = names[hit].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([body[16 * i : 16 * i + 16] for i in range(len(hit))], pa.binary()), pa.array(rep[hit])], ["sig", "rep"])
+
+    sent = docs.select("text").mapInArrow(send, "bucket long, token binary, own binary, sigs binary")
+    dealt = sent.repartition(partitions(docs.sparkSession, buckets, 2), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "sig binary, rep long").groupBy("sig").agg(F.sum("rep").alias("rep"))
+
+
+def alive_sets(scratch: Scratch, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(k, sig, id, copies, n, own, tokens): the distinct sets that may have a partner other than copies; k is a number of their own, id their smallest doc_id."""
+    sets = rows.where("n > 0").groupBy("sig", "n", "slack").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("copies")).where("id IS NOT NULL")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    rep = repeated(docs, -(-total // BUCKET) or 1)
+    alive = scratch.keep(sets.join(rep, "sig").where("4 * (rep + slack) >= 3 * n").select("sig", "n", "id", "copies", ((F.col("n") - F.col("rep")) / F.col("n")).alias("own")))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for b in slices(batch):
+                keep, body = [], []
+                for i, (s, g) in enumerate(zip(shingle_sets(b.column("text")), b.column("sig").to_pylist())):
+                    if g not in seen and signature(s) == g:  # not so for another text of a repeated doc_id
+                        seen.add(g), keep.append(i), body.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(keep, pa.int64())) for c in ("sig", "n", "id", "copies", "own")), pa.array(body, pa.binary())], ["sig", "n", "id", "copies", "own", "tokens"])
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(alive, "id")
+    found = texts.mapInArrow(fetch, "sig binary, n int, id long, copies long, own double, tokens binary").dropDuplicates(["sig"])
+    out = scratch.keep(found.withColumn("k", F.monotonically_increasing_id()))
+    scratch.drop(alive)
+    return out
 
 
-def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, rows: DataFrame, per_star: int = 200, per_task: int = 1500) -> DataFrame:
-    """Those pairs (a, b) of doc_ids whose sets link; ``rows`` has the documents' bitmaps."""
-    spark = scratch.spark
-    pairs = scratch.keep(plausible(scratch.keep(pairs), rows))
-    size = scratch.keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")))
-    salted = scratch.keep(pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.expr(f"(size + {per_star - 1}) div {per_star}")).alias("salt")))
-    need = scratch.keep(salted.select(F.col("b").alias("id"), "a", "salt").unionByName(salted.select(F.col("a").alias("id"), "a", "salt").distinct()))
-    n = need.count()
+def dealt_tokens(sets: DataFrame, columns: list[str], buckets: int, expand: Callable) -> DataFrame:
+    """Rows (bucket, token, columns...) of blobs: ``expand`` gives from a batch the arrays of tokens and columns, which are dealt by token."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch):
-                for key in zip(b.column("a").to_pylist(), b.column("salt").to_pylist(), b.column("id").to_pylist(), shingle_sets(b.column("text"))):
-                    rows.setdefault(key[:2], []).append(key[2:])
-        a, b = [], []
-        for (centre, _), members in rows.items():
-            for own in (s for i, s in members if i == centre):
-                ids = [i for i, _ in members if i != centre]
-                sets = [s for i, s in members if i != centre]
-                if not sets or not len(own):
-                    continue
-                flat = np.concatenate(sets)
-                at = np.searchsorted(own, flat)
-                at[at == len(own)] = 0
-                both = np.bincount(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), own[at] == flat, len(sets)).astype(np.int64)
-                union = np.array([len(s) for s in sets]) + len(own) - both
-                for i in np.flatnonzero((100 * both >= 75 * union) & (union > 0)).tolist():
-                    a.append(centre), b.append(ids[i])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(need.hint("shuffle_hash"), "id")
-    out = scratch.keep(texts.repartition(partitions(spark, n, per_task), "a", "salt").mapInArrow(check, "a long, b long"))
-    scratch.drop(pairs, size, salted, need)
-    return out
+            for b in slices(batch, "tokens", 8 << 20):
+                cols = expand(b)
+                bucket = (cols[0] % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                at = runs(bucket[order])[:-1]
+                cut = [*at.tolist(), len(order)]
+                blobs = ([c[order[i:j]].tobytes() for i, j in zip(cut, cut[1:])] for c in cols)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[at]]), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "token", *columns])
 
+    spark = sets.sparkSession
+    out = sets.mapInArrow(deal, ", ".join(["bucket long", "token binary", *(f"{c} binary" for c in columns)]))
+    return out.repartition(partitions(spark, buckets, 2), "bucket").sortWithinPartitions("bucket")
 
-def leader_pairs(scratch: Scratch, sets: DataFrame) -> DataFrame:
-    """(a, b): for each of a set's head tokens, the set and the smallest id that has the token as well, if sizes allow a link."""
-    heads = scratch.keep(sets.select("id", "n", F.explode("head").alias("token")))
-    first = scratch.keep(heads.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    got = heads.join(first.select("token", F.col("first.id").alias("a"), F.col("first.n").alias("na")), "token")
-    return got.where("id <> a AND 4 * least(n, na) >= 3 * greatest(n, na)").select("a", F.col("id").alias("b")).distinct()
 
+def blobs(group: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray]:
+    parts: dict[str, list] = {c: [] for c in kinds}
+    for b in group:
+        for c, t in kinds.items():
+            parts[c] += [np.frombuffer(x.as_buffer(), t) for x in b.column(c)]
+    return {c: np.concatenate(x) for c, x in parts.items()}
 
-def candidate_pairs(scratch: Scratch, indexed: DataFrame, tokens: int) -> DataFrame:
-    """(a, b) of sets in different components that share a prefix token and that size and position don't rule out.
 
-    ``indexed``: (id, n, comp, prefix).
-    """
-    buckets = max(1, -(-tokens // 100_000))
+def flat(b: pa.RecordBatch, column: str = "tokens") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of a batch, the row of each, and its place in the row."""
+    lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(column)]
+    lens = np.array([len(x) for x in lists], np.int64)
+    token = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    return token, np.repeat(np.arange(len(lists)), lens), np.arange(len(token)) - np.repeat(np.cumsum(lens) - lens, lens)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                b = batch.slice(lo, 2000)
-                lists = [np.frombuffer(x, np.uint64) for x in b.column("prefix").to_pylist()]
-                lens = np.array([len(x) for x in lists])
-                token = np.concatenate(lists)
-                doc = np.repeat(np.arange(len(lists)), lens)
-                pos = np.arange(len(token)) - np.repeat(np.cumsum(lens) - lens, lens)
-                bucket = (mix(token) % U64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
-                cols = {"token": token[order], "id": b.column("id").to_numpy()[doc[order]], "n": b.column("n").to_numpy()[doc[order]], "pos": pos[order].astype(np.int32), "comp": b.column("comp").to_numpy()[doc[order]]}
-                which = bucket[order][cuts[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(which)] + [pa.array([x[s:e].tobytes() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())], pa.binary()) for x in cols.values()], ["bucket", *cols])
 
-    kinds = {"token": np.uint64, "id": np.int64, "n": np.int32, "pos": np.int32, "comp": np.int64}
+def ordered(alive: DataFrame, buckets: int) -> DataFrame:
+    """(k, tokens, heads): the tokens of a set that other sets of ``alive`` hold, the least frequent first by exact counts; the first by hash are heads."""
+
+    def expand(b: pa.RecordBatch) -> tuple:
+        token, row, _ = flat(b)
+        return token, b.column("k").to_numpy()[row]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in by_group(batches, ["bucket"]):
+            x = blobs(group, {"token": np.uint64, "k": np.int64})
+            order = np.argsort(x["token"], kind="stable")
+            at = runs(x["token"][order])
+            times = np.empty(len(order), np.uint64)
+            times[order] = np.repeat(np.diff(at), np.diff(at))
+            use = np.flatnonzero(times > 1)
+            use = use[np.argsort(x["k"][use], kind="stable")]
+            k = x["k"][use]
+            at = runs(k)
+            cut = list(zip(at[:-1].tolist(), at[1:].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(k[at[:-1]]), *(pa.array([c[use[i:j]].tobytes() for i, j in cut], pa.binary()) for c in (x["token"], times))], ["k", "tokens", "times"])
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], []]
+        size = 0
+        for (k,), group in by_group(batches, ["k"]):
+            x = blobs(group, {"tokens": np.uint64, "times": np.uint64})
+            t = x["tokens"][np.lexsort((x["tokens"], x["times"]))]
+            out[0].append(k), out[1].append(t.tobytes()), out[2].append(np.sort(t)[:HEADS].view(np.int64).tolist())
+            size += len(t)
+            if size > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64()))], ["k", "tokens", "heads"])
+                out, size = [[], [], []], 0
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64()))], ["k", "tokens", "heads"])
+
+    counted = dealt_tokens(alive.select("k", "tokens"), ["k"], buckets, expand).mapInArrow(count, "k long, tokens binary, times binary")
+    dealt = counted.repartition(partitions(alive.sparkSession, buckets, 1), "k").sortWithinPartitions("k")
+    return dealt.mapInArrow(order, "k long, tokens binary, heads array<long>")
+
+
+def differences(scratch: Scratch, alive: DataFrame, pairs: DataFrame, percent: int, per: int = 500) -> DataFrame:
+    """(a, b, na, d, x): for the pairs (a, b) whose overlap is at least ``percent`` of the union, the places in a that b lacks and the tokens that b adds.
+
+    The sets b of a leader a are dealt over several tasks, each with the leader's own set first.
+    """
+    pairs = scratch.keep(pairs)
+    size = pairs.groupBy("a").agg(F.expr(f"(count(1) + {per - 1}) div {per}").alias("of"))
+    salted = scratch.keep(pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("of")).alias("salt")))
+    need = salted.select("a", "salt", "b", F.lit(1).alias("role")).unionByName(salted.select("a", "salt", F.col("a").alias("b"), F.lit(0).alias("role")).distinct())
+    sent = need.join(alive.select(F.col("k").alias("b"), "tokens"), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (a, _), group in by_group(batches, ["a", "salt"]):
+            own = None
+            for part in group:
+                if own is None:
+                    own = np.frombuffer(part.column("tokens")[0].as_buffer(), np.uint64).copy()
+                    part = part.slice(1)
+                for p in slices(part, "tokens", 8 << 20):
+                    b, d, x = [], [], []
+                    for i, blob in zip(p.column("b").to_pylist(), p.column("tokens")):
+                        t = np.frombuffer(blob.as_buffer(), np.uint64)
+                        at = np.searchsorted(own, t)
+                        at[at == len(own)] = 0
+                        there = own[at] == t
+                        both = int(there.sum())
+                        if 100 * both >= percent * (len(own) + len(t) - both) and both:
+                            lacks = np.ones(len(own), bool)
+                            lacks[at[there]] = False
+                            b.append(i), d.append(np.flatnonzero(lacks).astype(np.int32).tobytes()), x.append(t[~there].tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([a] * len(b), pa.int64()), pa.array(b, pa.int64()), pa.array([len(own)] * len(b), pa.int32()), pa.array(d, pa.binary()), pa.array(x, pa.binary())], ["a", "b", "na", "d", "x"])
+
+    n = salted.count()
+    dealt = sent.repartition(partitions(scratch.spark, n, 4 * per), "a", "salt").sortWithinPartitions("a", "salt", "role")
+    return dealt.select("a", "salt", "b", "tokens").mapInArrow(compare, "a long, b long, na int, d binary, x binary")
+
+
+def leaders(scratch: Scratch, alive: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, leader) for every set, and the differences of followers from their leaders.
+
+    Of a head's list the set with the smallest share of own tokens is the candidate. A set follows the best candidate that follows nobody.
+    """
+    heads = scratch.keep(order.select("k", F.explode("heads").alias("token")).join(alive.select("k", F.struct("own", "k").alias("rank")), "k"))
+    first = heads.groupBy("token").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    pairs = heads.join(first, "token").where("best.k <> k").select(F.col("best.k").alias("a"), F.col("k").alias("b")).distinct()
+    near = scratch.keep(differences(scratch, alive, pairs, FOLLOW))
+    ranked = near.select("a", "b").join(alive.select(F.col("k").alias("a"), F.struct("own", F.col("k").alias("a")).alias("rank")), "a")
+    roots = ranked.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    follows = scratch.keep(roots.groupBy("b").agg(F.min("rank").alias("best")).select(F.col("b").alias("k"), F.col("best.a").alias("leader")))
+    all_sets = scratch.keep(alive.select("k", "n").join(follows, "k", "left").select("k", "n", F.coalesce("leader", "k").alias("leader")))
+    own = near.join(follows.select(F.col("k").alias("b"), F.col("leader").alias("a")), ["a", "b"])
+    return all_sets, own
+
+
+def crossing(order: DataFrame, led: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): leaders a and sets b of other leaders such that b may link with a set that follows a, by size and position in some prefix list."""
+
+    def expand(b: pa.RecordBatch) -> tuple:
+        token, row, pos = flat(b)
+        n = b.column("n").to_numpy()[row].astype(np.int64)
+        own = n - np.bincount(row, minlength=b.num_rows)[row]  # tokens of its own come first in the order
+        keep = own + pos < n - least_overlap(n) + 1
+        row, n, left = row[keep], n[keep], (n - own - pos)[keep]
+        return token[keep], b.column("k").to_numpy()[row], b.column("leader").to_numpy()[row], n.astype(np.int32), left.astype(np.int32)
+
+    kinds = {"token": np.uint64, "k": np.int64, "leader": np.int64, "n": np.int32, "left": np.int32}
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[bytes]] = {c: [] for c in kinds}
-        for b in batches:
-            for c in kinds:
-                parts[c] += b.column(c).to_pylist()
-        if not parts["token"]:
-            return
-        x = {c: np.frombuffer(b"".join(parts.pop(c)), t) for c, t in kinds.items()}
-        order = np.lexsort((x["id"], x["n"], x["token"]))
-        new = np.diff(x["token"][order], prepend=x["token"][order[0]] + U64(1)) != 0
-        starts = np.flatnonzero(new)
-        comp = x["comp"][order]
-        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-        order = order[np.repeat(mixed, np.diff(np.append(starts, len(order))))]
-        token, ids, n, pos, comp = (x[c][order] for c in kinds)
-        del x
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
-        # the largest partner that the tokens from here on allow: n - pos >= 3 (n + partner) / 7
-        most = np.minimum(4 * n // 3, (7 * (n - pos) - 3 * n) // 3)
-        live = np.flatnonzero(most >= n)
-        lag, out, size = 1, [], 0
-        while len(live):
-            live = live[live + lag < len(ids)]
-            j = live + lag
-            go = (token[j] == token[live]) & (n[j] <= most[live])
-            live, j = live[go], j[go]
-            ok = (comp[j] != comp[live]) & (7 * np.minimum(n[live] - pos[live], n[j] - pos[j]) >= 3 * (n[live] + n[j]))
-            a, b = ids[live[ok]], ids[j[ok]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            size += len(a)
-            lag += 1
-            if size > 200_000 or not len(live):
-                got = np.unique(np.concatenate(out), axis=0)
+        for _, group in by_group(batches, ["bucket"]):
+            x = blobs(group, kinds)
+            # one entry for each leader of a list: the sizes of its sets there and the most tokens that any has left
+            by = np.lexsort((x["n"], x["leader"], x["token"]))
+            at = runs(x["token"][by], x["leader"][by])[:-1]
+            if not len(at):
+                continue
+            token, leader = x["token"][by[at]], x["leader"][by[at]]
+            low, high = x["n"][by[at]].astype(np.int64), x["n"][by[np.append(at[1:], len(by)) - 1]].astype(np.int64)
+            left = np.maximum.reduceat(x["left"][by], at).astype(np.int64)
+            several = np.repeat(np.diff(c := runs(token)) > 1, np.diff(c))
+            token, leader, low, high, left = (v[several] for v in (token, leader, low, high, left))
+            # members sorted by size within a list; a leader's block there runs from 3/4 of its smallest to what position and size allow
+            by = np.lexsort((x["n"], x["token"]))
+            t, k, own, n, rest = (x[c][by] for c in kinds)
+            n, rest = n.astype(np.int64), rest.astype(np.int64)
+            top = np.minimum(4 * high // 3, (7 * left - 3 * low) // 3)
+            lists = np.unique(t)
+            where = np.searchsorted(lists, t).astype(np.int64)
+            key = (where << 32) + n
+            mine = np.searchsorted(lists, token).astype(np.int64) << 32
+            start = np.searchsorted(key, mine + least_overlap(low), "left")
+            stop = np.maximum(start, np.searchsorted(key, mine + np.maximum(top, 0), "right"))
+            found, size = [], 0
+            edges = np.searchsorted(np.cumsum(stop - start), np.arange(0, int((stop - start).sum()) + 1, 1 << 20))
+            for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(start)]):
+                count = (stop - start)[i:j]
+                m = np.repeat(start[i:j] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                e = np.repeat(np.arange(i, j), count)
+                ok = (own[m] != leader[e]) & (7 * rest[m] >= 3 * (low[e] + n[m]))
+                if ok.any():
+                    found.append(np.unique(np.stack([leader[e[ok]], k[m[ok]]], 1), axis=0))
+                    size += len(found[-1])
+                if size > 500_000:
+                    got, found, size = np.unique(np.concatenate(found), axis=0), [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+            if found:
+                got = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
-                out, size = [], 0
 
-    cols = "bucket long, token binary, id binary, n binary, pos binary, comp binary"
-    dealt = indexed.mapInArrow(deal, cols).repartition(partitions(scratch.spark, buckets, 3), "bucket")
-    return dealt.mapInArrow(match, "a long, b long").distinct()
+    lists = dealt_tokens(order.select("k", "tokens").join(led, "k"), ["k", "leader", "n", "left"], buckets, expand)
+    return lists.mapInArrow(match, "a long, b long").distinct()
+
+
+class Block:
+    """Some followers of one leader, as differences from it; ``against`` derives their links with other sets of the leader's answers."""
+
+    def __init__(self, rows: list[pa.RecordBatch], na: int):
+        t = pa.Table.from_batches(rows)
+        self.na, self.k = na, t.column("b").to_numpy()
+        d, x = self.parts(t)
+        self.w = 4 * np.array([len(v) for v in d]) + 3 * np.array([len(v) for v in x])
+        self.added = np.unique(np.concatenate(x))
+        self.cols = np.unique(np.concatenate([self.ids(a, b) for a, b in zip(d, x)]))
+        self.at = [np.searchsorted(self.cols, self.ids(a, b)) for a, b in zip(d, x)]
+        self.links = np.zeros(len(self.k), np.int64)
+        self.label = np.arange(len(self.k))
+
+    @staticmethod
+    def parts(t) -> tuple[list, list]:
+        return [np.frombuffer(v.as_buffer(), np.int32) for v in t.column("d")], [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("x")]
+
+    def ids(self, d: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Places that are lacking, then tokens that are added (those of the followers only), as numbers."""
+        at = np.searchsorted(self.added, x)
+        at[at == len(self.added)] = 0
+        return np.concatenate([d.astype(np.int64), self.na + at[self.added[at] == x]]) if len(x) and len(self.added) else d.astype(np.int64)
+
+    def common(self, rows: np.ndarray, theirs: list[np.ndarray]) -> np.ndarray:
+        """What followers and others have in common, by blocks of columns."""
+        out = np.zeros((len(rows), len(theirs)), np.float32)
+        pick = [self.at[r] for r in rows.tolist()]
+        for lo in range(0, len(self.cols), 4096):
+            f, g = (np.zeros((len(v), min(4096, len(self.cols) - lo)), np.float32) for v in (pick, theirs))
+            for m, v in ((f, pick), (g, theirs)):
+                for i, at in enumerate(v):
+                    m[i, at[slice(*np.searchsorted(at, (lo, lo + 4096)))] - lo] = 1
+            out += f @ g.T
+        return out
+
+    def against(self, t: pa.RecordBatch, edges: list[tuple[int, int]]) -> None:
+        d, x = self.parts(t)
+        k, copies = t.column("b").to_numpy(), t.column("copies").to_numpy()
+        w = 4 * np.array([len(v) for v in d]) + 3 * np.array([len(v) for v in x])
+        need = self.w[:, None] + w[None, :] - self.na
+        link = need <= 0
+        rows, cols = np.flatnonzero(~link.all(1)), np.flatnonzero(~link.all(0))
+        if len(rows):
+            theirs = []
+            for j in cols.tolist():
+                ids = self.ids(d[j], x[j])
+                at = np.searchsorted(self.cols, ids)
+                at[at == len(self.cols)] = 0
+                theirs.append(at[self.cols[at] == ids] if len(self.cols) else at[:0])
+            link[np.ix_(rows, cols)] |= 7 * self.common(rows, theirs) >= need[np.ix_(rows, cols)]
+        self.links += link @ copies
+        # what joins components: each linked set to one follower, and followers whose labels meet
+        while True:
+            low = np.where(link, self.label[:, None], len(self.k)).min(0)
+            new = np.minimum(self.label, np.where(link, low[None, :], len(self.k)).min(1))
+            if (new == self.label).all():
+                break
+            moved = np.flatnonzero(new != self.label)
+            edges += {(int(self.k[i]), int(self.k[j])) for i, j in zip(self.label[moved].tolist(), new[moved].tolist())}
+            self.label = new
+        edges += [(int(self.k[r]), int(v)) for r, v in zip(low[low < len(self.k)].tolist(), k[low < len(self.k)].tolist()) if self.k[r] != v]
+
+
+def derived(scratch: Scratch, answers: DataFrame, led: DataFrame, alive: DataFrame) -> DataFrame:
+    """(a, b, links): for each set a the number of documents that it or its copies link with (b null), and edges (a, b) that connect what is linked."""
+    blocks = led.groupBy("leader").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("of"))
+    facts = led.join(alive.select("k", "copies"), "k").select(F.col("k").alias("b"), "leader", "copies")
+    sized = answers.join(facts, "b").join(blocks.select(F.col("leader").alias("a"), "of"), "a")
+    rows = sized.select("a", "b", "na", "d", "x", "copies", F.when(F.col("leader") == F.col("a"), F.pmod(F.xxhash64("b"), F.col("of"))).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("block"))
+    rows = rows.withColumn("role", F.when(F.col("own") == F.col("block"), 0).otherwise(1)).drop("own")
+
+    def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in by_group(batches, ["a", "block"]):
+            own: list[pa.RecordBatch] = []
+            block: Block | None = None
+            edges: list[tuple[int, int]] = []
+            for part in group:
+                mine = int((part.column("role").to_numpy() == 0).sum())
+                if mine:
+                    own.append(part.slice(0, mine))
+                if mine == part.num_rows or not own:
+                    continue
+                if block is None:
+                    block = Block(own, part.column("na")[0].as_py())
+                    for p in own:
+                        for lo in range(0, p.num_rows, BLOCK):
+                            block.against(p.slice(lo, BLOCK), edges)
+                for lo in range(mine, part.num_rows, BLOCK):
+                    block.against(part.slice(lo, BLOCK), edges)
+            if block is None and own:
+                block = Block(own, own[0].column("na")[0].as_py())
+                for p in own:
+                    for lo in range(0, p.num_rows, BLOCK):
+                        block.against(p.slice(lo, BLOCK), edges)
+            if block is not None:
+                a = block.k.tolist() + [e[0] for e in edges]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([None] * len(block.k) + [e[1] for e in edges], pa.int64()), pa.array(block.links.tolist() + [None] * len(edges), pa.int64())], ["a", "b", "links"])
+
+    n = answers.count()
+    dealt = rows.repartition(partitions(scratch.spark, n, 2000), "a", "block").sortWithinPartitions("a", "block", "role")
+    return dealt.select("a", "block", "role", "b", "na", "d", "x", "copies").mapInArrow(derive, "a long, b long, links long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id and n_links (other documents linked directly) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    levels = spark.sparkContext.broadcast(token_levels(docs))
-    rows = scratch.keep(prefixes(docs, levels))
-    sets = scratch.keep(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig", "n").agg(F.min("doc_id").alias("id"), F.first("head").alias("head")))
-    links = verify(scratch, docs, leader_pairs(scratch, sets), rows)
-    first = scratch.keep(components(scratch, links))
-    known = scratch.keep(sets.select("id", "n").distinct().join(first, "id", "left").select("id", "n", F.coalesce("comp", "id").alias("comp")))
-    indexed = rows.select(F.col("doc_id").alias("id"), "n", "prefix").where("n > 0").join(known.hint("shuffle_hash"), ["id", "n"]).select("id", "n", "comp", "prefix")
-    tokens = rows.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    more = verify(scratch, docs, candidate_pairs(scratch, indexed, int(tokens)), rows)
-    comp = scratch.keep(components(scratch, links.unionByName(more)))
-    known = scratch.keep(sets.select("sig", "n", "id").join(comp, "id", "left").select("sig", "n", F.coalesce("comp", "id").alias("comp")))
-    meta = rows.select("doc_id", "n", "sig")
-    some = meta.where("n > 0").join(known, ["sig", "n"], "left")
-    none = meta.where("n = 0").select("sig", "n", "doc_id", F.col("doc_id").alias("comp"))
-    return some.unionByName(none).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    rows = scratch.keep(signatures(docs))
+    alive = alive_sets(scratch, docs, rows)
+    buckets = -(-(alive.agg(F.sum("n")).first()[0] or 0) // BUCKET) or 1
+    order = scratch.keep(ordered(alive, buckets))
+    led, own = leaders(scratch, alive, order)
+    cross = scratch.keep(differences(scratch, alive, crossing(order, led, buckets), 0))
+    # the leader itself differs from itself in nothing
+    heads = own.select("a").union(cross.select("a")).distinct().join(alive.select(F.col("k").alias("a"), F.col("n").alias("na")), "a")
+    nothing = F.lit(b"").cast("binary")
+    answers = scratch.keep(own.unionByName(cross).unionByName(heads.select("a", F.col("a").alias("b"), "na", nothing.alias("d"), nothing.alias("x"))))
+    found = scratch.keep(derived(scratch, answers, led, alive))
+    names = alive.select(F.col("k").alias("a"), "id")
+    edges = found.where("b IS NOT NULL").join(names, "a").select("id", "b").join(names.select(F.col("a").alias("b"), F.col("id").alias("other")), "b").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    some = rows.where("n > 0 AND doc_id IS NOT NULL")
+    sets = scratch.keep(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("copies")))
+    # a doc_id with several texts joins their sets
+    twice = some.groupBy("doc_id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("doc_id")
+    edges = edges.unionByName(some.join(twice, "doc_id").join(sets, "sig").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    comp = scratch.keep(components(scratch, edges))
+    links = found.where("links IS NOT NULL").join(alive.select(F.col("k").alias("a"), "sig"), "a").select("sig", "links")
+    known = sets.join(comp, "id", "left").select("sig", "copies", F.coalesce("comp", "id").alias("comp")).join(links, "sig", "left")
+    linked = rows.select("doc_id", "n", "sig").where("n > 0").join(known, "sig", "left")
+    own_links = F.coalesce("links", "copies") - F.when(F.col("doc_id").isNotNull(), 1).otherwise(0)
+    none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"), own_links.cast("long").alias("n_links")).unionByName(none)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
