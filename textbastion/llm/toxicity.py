@@ -1,32 +1,42 @@
-"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found through a block-max index.
+"""Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
-``fit`` learns from a bounded sample of labelled rows (``max_examples``, half toxic and half not where there are enough, chosen by the
-hash of doc_id): the vocabulary (at most ``max_terms`` words that toxic examples use more, by a chi-square of ``min_z`` ** 2), the examples' unit TF-IDF vectors, in blocks of similar examples. Inverse document frequencies are counted over all documents, in a pass of its own.
-For each block the index holds every term's largest weight. A document's score needs its ``k`` nearest examples: blocks are
-visited by falling bound, and skipped once the bound (document's weights times the block's maxima) can't reach the document's
-k-th best cosine; within a visited block all cosines are exact. Votes are weighted by cosine ** 2 and by how many rows an
-example of its class stands for, and smoothed to the share of toxic rows, so the score is a calibrated probability. Evidence: the nearest examples.
+``fit`` learns from a bounded sample of labelled rows: at most ``max_examples`` (half toxic and half not where there are enough, chosen by the hash of
+doc_id) of at most ``max_bytes`` of text together. Every term of these examples is in the space. Its weight in a text is
+``(1 + log tf) * idf * relevance``; document frequencies are counted over all documents in a pass of their own, and relevance
+rises with the chi-square of the term's use in toxic against clean examples from ``BASE`` (terms that tell nothing) to 1. Vectors have unit length in that space.
 
-The index takes at most ``max_examples * max_terms`` floats (16 MB) and is broadcast; every document is scored in one pass, without
+The inverted index is cut into blocks of similar examples. A block holds its posting lists, and for every term its largest
+weight there. A document's score needs its ``k`` nearest examples: the block with the largest bound (the document's weights times the
+block's maxima) comes first, and others are skipped where their bound can't reach the document's k-th best cosine; within a visited block all cosines are exact.
+Votes are weighted by cosine ** 2 and by how many rows an example of its class stands for. A monotone curve, fitted to the votes
+that the examples get from each other (each left out of its own), turns the share of toxic votes into a calibrated probability. Evidence: the nearest examples.
+
+The index is bounded by the sample (about 10 bytes a term and example, 64 bytes a term) and is broadcast; every document is scored in one pass, without
 a shuffle of texts. Words are runs of letters, digits and non-ASCII bytes with A-Z lower-cased, over the whole text.
 
-Defined cases: null or empty text, or no known word: the share of toxic rows among examples without one; repeated labels of a document: toxic if any says so; null labels are
-not learnt from; without labelled rows every score is 0; documents equal in text get equal scores; ties at the k-th place all vote.
+Defined cases: null or empty text, or no known word: the curve's value at the prior; repeated labels of a document: toxic if any says so; null labels are
+not learnt from; of rows that repeat a doc_id the smallest text is learnt from; without labelled rows every score is 0; documents equal in text get equal scores; ties at the k-th place all vote;
+an input column that is named like one of the output goes; an empty table gives no rows. A task holds the word hashes of one slice, or of the longest text (8 bytes a byte of it).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_WORD, buffers, slices, table, words
 
 BLOCK = 64
+#: Relevance of a term that tells nothing about the label, the z from which it is 1, and the weight of the prior in a vote.
+BASE, SURE, PRIOR = 0.02, 4.0, 0.25
+PARTS = 64
+#: Postings of a term in a block from which its list is kept as a row of a matrix.
+FULL = 4
 
 
 def terms(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -34,80 +44,144 @@ def terms(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return words(raw, off, LOWER, NOT_WORD)
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... for size[i] places, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 @dataclass
 class Index:
     vocabulary: np.ndarray  # sorted term hashes
-    idf: np.ndarray
-    vectors: np.ndarray  # examples x terms, unit rows or zero
-    maxima: np.ndarray  # terms x blocks
-    toxic: np.ndarray
-    weight: np.ndarray
-    ids: np.ndarray
+    weight: np.ndarray  # idf times relevance
     prior: float  # share of toxic rows among all labelled ones
-    floor: float  # and among those without a known word
     k: int
-
-    def vectorise(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Unit TF-IDF rows; term frequencies count as 1 + log."""
+    blocks: list = field(default_factory=list)  # (terms, rows of the matrix of long lists, that matrix, starts of the short lists, examples, weights)
+    maxima: np.ndarray | None = None  # terms x blocks, in steps of ``step``, rounded up
+    step: float = 1 / 255
+    toxic: np.ndarray | None = None
+    stands: np.ndarray | None = None  # rows that an example stands for
+    ids: np.ndarray | None = None
+    curve: tuple = ((0.0, 1.0), (0.0, 1.0))
+
+    def vectorise(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors as (first place of each text, terms, weights)."""
         n, v = len(first) - 1, len(self.vocabulary)
-        out = np.zeros((n, v), np.float32)
         if not v or not len(h):
-            return out
+            return np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
         at = np.searchsorted(self.vocabulary, h)
         at[at == v] = 0
         hit = np.flatnonzero(self.vocabulary[at] == h)
         row = np.searchsorted(first, hit, "right") - 1
-        tf = np.bincount(row * v + at[hit], minlength=n * v).reshape(n, v)
-        r, t = np.nonzero(tf)
-        out[r, t] = (1 + np.log(tf[r, t])) * self.idf[t]
-        norm = np.sqrt((out.astype(np.float64) ** 2).sum(1))
-        return (out / np.maximum(norm, 1e-30)[:, None]).astype(np.float32)
-
-    def nearest(self, q: np.ndarray) -> np.ndarray:
-        """Cosines (documents x examples) that are exact wherever they reach the document's k-th best, and -1 where skipped."""
-        sims = np.full((len(q), len(self.vectors)), -1, np.float32)
-        if not len(self.vectors):
-            return sims
-        bound = q @ self.maxima
-        best = np.zeros((len(q), 0), np.float32)
-        kth = np.zeros(len(q), np.float32)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        # each document visits its own next-best block in every round
-        alive = np.flatnonzero(bound.max(1) > 0)
-        best = np.zeros((len(q), self.k), np.float32)
-        for step in range(bound.shape[1]):
-            b = order[alive, step]
-            alive, b = (x[bound[alive, b] > np.maximum(kth[alive] - 1e-5, 0)] for x in (alive, b))
-            if not len(alive):
-                break
-            for i in np.unique(b).tolist():
-                rows = alive[b == i]
-                lo, hi = i * BLOCK, min((i + 1) * BLOCK, len(self.vectors))
-                s = q[rows] @ self.vectors[lo:hi].T
-                sims[rows, lo:hi] = s
-                both = np.concatenate([best[rows], s], 1)
-                best[rows] = -np.partition(-both, self.k - 1, axis=1)[:, : self.k]
-                kth[rows] = best[rows].min(1)
-        self.kth = kth
-        return sims
-
-    def score(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores, and for each document the places of its three nearest examples (-1: none)."""
-        out = np.full(len(q), self.floor)
-        near = np.full((len(q), 3), -1)
-        known = np.flatnonzero(q.any(1))
-        if not len(known) or not len(self.vectors):
-            return out, near
-        sims = np.round(self.nearest(q[known]), 5)
-        kth = np.round(self.kth, 5)
-        vote = np.where((sims >= kth[:, None] - 1e-5) & (sims > 0), sims.astype(np.float64) ** 2, 0) * self.weight
-        out[known] = (vote @ self.toxic + 0.25 * self.prior) / (vote.sum(1) + 0.25)
+        key, tf = np.unique(row * v + at[hit], return_counts=True)
+        return self.unit(n, key // v, key % v, tf)
+
+    def unit(self, n: int, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.weight[term]
+        norm = np.sqrt(np.bincount(row, w * w, n))
+        return np.searchsorted(row, np.arange(n + 1)), term, w / np.maximum(norm, 1e-30)[row]
+
+    def build(self, first: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
+        """Posting lists of the examples' vectors by block, and each term's maximum there."""
+        n = len(first) - 1
+        row = np.repeat(np.arange(n), np.diff(first))
+        self.maxima = np.zeros((len(self.vocabulary), -(-n // BLOCK)), np.uint8)
+        for i in range(self.maxima.shape[1]):
+            x = slice(first[i * BLOCK], first[min((i + 1) * BLOCK, n)])
+            order = np.argsort(term[x], kind="stable")
+            t, e, v = term[x][order], row[x][order], w[x][order]
+            at = np.flatnonzero(np.diff(t, prepend=-1))
+            size = np.diff(np.append(at, len(t)))
+            full = np.repeat(size >= FULL, size)
+            place = np.where(size >= FULL, np.cumsum(size >= FULL) - 1, -1)
+            matrix = np.zeros((int((size >= FULL).sum()), BLOCK), np.float32)
+            matrix[np.repeat(place, size)[full], (e - i * BLOCK)[full]] = v[full]
+            starts = np.append(0, np.cumsum(np.where(size >= FULL, 0, size)))
+            self.blocks.append((t[at], place, matrix, starts, (e - i * BLOCK).astype(np.uint8)[~full], v.astype(np.float32)[~full]))
+            if len(at):
+                self.maxima[t[at], i] = np.ceil(np.maximum.reduceat(v.astype(np.float32), at) / self.step * (1 - 1e-6)).clip(0, 255)
+
+    def block(self, i: int, first: np.ndarray, distinct: np.ndarray, which: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact cosines of some texts (terms as places in ``distinct``) with the examples of block i, through its posting lists."""
+        known, column, matrix, starts, example, weight = self.blocks[i]
+        place = np.searchsorted(known, distinct)
+        place[place == len(known)] = 0
+        held = known[place] == distinct
+        size = np.diff(first)[rows]
+        x = spans(first[rows], size)
+        row = np.repeat(np.arange(len(rows)), size)
+        hit = held[which[x]]
+        x, row = x[hit], row[hit]
+        at = place[which[x]]
+        full = column[at] >= 0
+        q = np.zeros((len(rows), len(matrix)), np.float32)
+        q[row[full], column[at[full]]] = w[x[full]]
+        at, x, row = at[~full], x[~full], row[~full]
+        size = starts[at + 1] - starts[at]
+        p = spans(starts[at], size)
+        return np.bincount(np.repeat(row, size) * BLOCK + example[p], np.repeat(w[x], size) * weight[p], len(rows) * BLOCK).reshape(-1, BLOCK) + q @ matrix
+
+    def nearest(self, first: np.ndarray, term: np.ndarray, w: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines (texts x examples) that are exact wherever they reach the text's k-th best, and -1 where skipped; and that k-th best.
+
+        ``skip``: an example that a text has to leave out.
+        """
+        n, blocks = len(first) - 1, len(self.blocks)
+        sims = np.full((n, blocks * BLOCK), -1.0)
+        best, kth = np.zeros((n, self.k)), np.zeros(n)
+        bound = np.zeros((n, blocks))
+        for i in range(n):
+            x = slice(first[i], first[i + 1])
+            bound[i] = w[x].astype(np.float32) @ self.maxima[term[x]].astype(np.float32) * (self.step * (1 + 1e-5))
+        # every text starts with the block of its largest bound; the others are swept in falling order of their bounds' sum
+        lead = bound.argmax(1)
+        distinct, which = np.unique(term, return_inverse=True)
+        for sweep, i in [*((0, i) for i in range(blocks)), *((1, i) for i in np.argsort(-bound.sum(0), kind="stable").tolist())]:
+            rows = np.flatnonzero(((lead == i) != bool(sweep)) & (bound[:, i] > np.maximum(kth - 1e-6, 0)))
+            if not len(rows):
+                continue
+            s = self.block(i, first, distinct, which, w, rows)
+            if skip is not None:
+                own = np.flatnonzero(skip[rows] // BLOCK == i)
+                s[own, skip[rows[own]] % BLOCK] = 0
+            sims[rows, i * BLOCK : (i + 1) * BLOCK] = s
+            best[rows] = -np.partition(-np.concatenate([best[rows], s], 1), self.k - 1, axis=1)[:, : self.k]
+            kth[rows] = best[rows].min(1)
+        return sims[:, : len(self.toxic)], kth
+
+    def votes(self, vectors: tuple, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Share of toxic votes, and for each text the places of its three nearest examples (-1: none)."""
+        n = len(vectors[0]) - 1
+        near = np.full((n, 3), -1)
+        if not len(self.blocks):
+            return np.full(n, self.prior), near
+        sims, kth = self.nearest(*vectors, skip)
+        sims, kth = np.round(sims, 6), np.round(kth, 6)
+        vote = np.where((sims >= kth[:, None] - 1e-6) & (sims > 0), sims**2, 0) * self.stands
+        share = (vote @ self.toxic + PRIOR * self.prior) / (vote.sum(1) + PRIOR)
         top = np.argsort(-sims, axis=1, kind="stable")[:, :3]
-        near[known, : top.shape[1]] = np.where(np.take_along_axis(sims, top, 1) > 0, top, -1)
-        return out, near
+        near[:, : top.shape[1]] = np.where(np.take_along_axis(sims, top, 1) > 0, top, -1)
+        return share, near
+
+    def score(self, vectors: tuple) -> tuple[np.ndarray, np.ndarray]:
+        share, near = self.votes(vectors)
+        return np.interp(share, *self.curve), near
+
+
+def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """A rising curve through the weighted means of y over pools of at least ``least`` places of x (pool adjacent violators)."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []
+    cuts = [0, *(i for i in range(least, len(x) - least + 1, least) if x[order[i]] > x[order[i - 1]]), len(x)]
+    for i, j in zip(cuts, cuts[1:]):
+        o = order[i:j]
+        pools.append([float((w * x)[o].sum()), float((w * y)[o].sum()), float(w[o].sum())])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    return np.array([0.0, *(p[0] / p[2] for p in pools), 1.0]), np.array([0.0, *(p[1] / p[2] for p in pools), 1.0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[list, float]:
+def sample(docs: DataFrame, labels: DataFrame, max_examples: int, max_bytes: int) -> tuple[list, float]:
     """Rows (doc_id, toxic, terms, counts) of the sampled examples, and the share of toxic rows among all labelled ones."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
@@ -124,71 +198,88 @@ def sample(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[list,
                 own = [np.unique(h[x:y], return_counts=True) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([x.tobytes() for x, _ in own], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in own], pa.binary())], ["doc_id", "toxic", "h", "n"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_examples rows at most
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # max_examples rows at most
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.octet_length("text"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    texts = texts.withColumn("size", size).where(F.col("size") <= max_bytes)
     return texts.mapInArrow(vectors, "doc_id long, toxic int, h binary, n binary").collect(), share
 
 
 def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term of the vocabulary (sorted) is, and the number of documents."""
+    """In how many of all documents each term of the vocabulary (sorted) is, and the number of documents. A task sends 4 bytes a term."""
     size = len(vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    cuts = np.linspace(0, size + 1, PARTS + 1).astype(int).tolist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, df, n = sent.value, np.zeros(size + 1, np.int64), 0
+        voc, df, n = sent.value, np.zeros(size + 1, np.int32), 0
         for batch in batches:
             for b in slices(batch):
                 h, first = terms(b)
-                at = np.searchsorted(voc, h)
-                at[at == size] = 0
-                hit = np.flatnonzero(voc[at] == h) if size else np.zeros(0, np.int64)
-                row = np.searchsorted(first, hit, "right") - 1
-                df += np.bincount(np.unique(row * (size + 1) + at[hit]) % (size + 1), minlength=size + 1)
+                if size and len(h):
+                    at = np.searchsorted(voc, h)
+                    at[at == size] = 0
+                    hit = np.flatnonzero(voc[at] == h)
+                    row = np.searchsorted(first, hit, "right") - 1
+                    df += np.bincount(np.unique(row * (size + 1) + at[hit]) % (size + 1), minlength=size + 1).astype(np.int32)
                 n += b.num_rows
-        df[size] = n  # the last place holds the number of documents
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(df)], ["at", "n"])
+        if n:
+            df[size] = n  # the last place holds the number of documents
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([df[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["part", "body"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, body in zip(b.column("part").to_pylist(), b.column("body")):
+                x = np.frombuffer(body.as_buffer(), np.int32).astype(np.int64)
+                sums[part] = sums[part] + x if part in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "body"])
 
     out = np.zeros(size + 1, np.int64)
-    # one row for each term
-    for r in docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        out[r["at"]] = r["n"]
+    rows = docs.select("text").mapInArrow(count, "part int, body binary").repartition(PARTS, "part").mapInArrow(add, "part int, body binary")
+    for r in rows.collect():  # 8 bytes a term of the sample
+        out[cuts[r.part] : cuts[r.part + 1]] += np.frombuffer(r.body, np.int64)
     return out[:size], int(out[size])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms: int = 1024, min_z: float = 4.0, k: int = 15) -> Index:
-    rows, share = sample(docs, labels, max_examples)
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_bytes: int = 32 << 20, k: int = 15) -> Index:
+    rows, share = sample(docs, labels, max_examples, max_bytes)
     rows.sort(key=lambda r: (r.doc_id, r.h))
-    y = np.array([r.toxic > 0 for r in rows], bool)
     own = [np.frombuffer(r.h, np.uint64) for r in rows]
-    voc, at = np.unique(np.concatenate(own), return_inverse=True) if own else (np.zeros(0, np.uint64), np.zeros(0, int))
-    doc = np.repeat(np.arange(len(own)), [len(x) for x in own]) if own else np.zeros(0, int)
-    n1, n0 = np.bincount(at[y[doc]], minlength=len(voc)), np.bincount(at[~y[doc]], minlength=len(voc))
-    m1, m0 = y.sum(), (~y).sum()
+    voc = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+    df, total = frequencies(docs, voc) if own else (np.zeros(0, np.int64), 0)
+    return learn([r.doc_id for r in rows], np.array([r.toxic > 0 for r in rows], bool), own, [np.frombuffer(r.n, np.int32) for r in rows], voc, df, total, share, k)
+
+
+def learn(ids: list[int], y: np.ndarray, own: list[np.ndarray], times: list[np.ndarray], voc: np.ndarray, df: np.ndarray, total: int, share: float, k: int) -> Index:
+    """The index of examples with these ids, labels, terms and counts; ``df`` of ``total`` documents hold a term, ``share`` of all labelled rows are toxic."""
+    if not ids:
+        return Index(voc, np.zeros(len(voc)), share, k, curve=((0.0, 1.0), (share, share)))
+    term = np.searchsorted(voc, np.concatenate(own))
+    doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    n1, n0 = (np.bincount(term[c[doc]], minlength=len(voc)).astype(np.float64) for c in (y, ~y))
+    m1, m0 = float(y.sum()), float((~y).sum())
     # chi-square of use by class, with Yates' correction
-    n, m = (n1 + n0).astype(np.float64), max(m1 + m0, 1)
-    off = np.maximum(np.abs(n1 * m0 - n0 * m1.astype(np.float64)) - m / 2, 0)
-    z = np.where(n1 * m0 > n0 * m1, 1, -1) * np.sqrt(m * off**2 / np.maximum(n * (m - n) * m1 * m0, 1e-9))
-    pick = np.argsort(-z, kind="stable")[:max_terms]
-    told = pick[z[pick] >= min_z]
-    pick = np.sort(told if len(told) else pick)
-    df, total = frequencies(docs, voc[pick])
-    index = Index(voc[pick], np.log((total + 1) / (df + 0.5)).astype(np.float32), None, None, None, None, None, share, share, k)
-    vectors = np.zeros((len(rows), len(pick)), np.float32)
-    for i, (r, h) in enumerate(zip(rows, own)):
-        j = np.searchsorted(index.vocabulary, h)
-        j[j == len(pick)] = 0
-        hit = index.vocabulary[j] == h if len(pick) else np.zeros(len(h), bool)
-        vectors[i, j[hit]] = (1 + np.log(np.frombuffer(r.n, np.int32)[hit])) * index.idf[j[hit]]
-    vectors /= np.maximum(np.sqrt((vectors.astype(np.float64) ** 2).sum(1)), 1e-30)[:, None]
+    n, m = n1 + n0, m1 + m0
+    off = np.maximum(np.abs(n1 * m0 - n0 * m1) - m / 2, 0)
+    z = np.where(n1 * m0 > n0 * m1, np.sqrt(m * off**2 / np.maximum(n * (m - n) * m1 * m0, 1e-9)), 0)
+    relevance = BASE + (1 - BASE) * np.minimum(z / SURE, 1) ** 2
+    index = Index(voc, np.log((total + 1) / (df + 0.5)) * relevance, share, k)
+    first, term, w = index.unit(len(ids), doc, term, np.concatenate(times))
     # similar examples share blocks: by their strongest term, then their class
-    order = np.lexsort((y, vectors.max(1) if len(pick) else y, vectors.argmax(1) if len(pick) else y))
-    index.vectors, index.toxic = vectors[order], y[order].astype(np.float64)
-    blocks = -(-len(rows) // BLOCK)
-    index.maxima = np.stack([index.vectors[i * BLOCK : (i + 1) * BLOCK].max(0) for i in range(blocks)], 1) if blocks else np.zeros((len(pick), 0), np.float32)
+    top = np.zeros(len(ids), np.int64)
+    by = np.lexsort((w, doc))
+    top[doc[by]] = term[by]
+    order = np.lexsort((y, top))
+    size = np.diff(first)[order]
+    x = spans(first[:-1][order], size)
+    vectors = np.append(0, np.cumsum(size)), term[x], w[x]
+    index.build(*vectors)
+    index.toxic = y[order].astype(np.float64)
     # the sample holds the classes half and half: a clean example stands for more rows
-    index.weight = np.where(index.toxic > 0, 1.0, (1 - share) / share * m1 / m0 if m0 and share else 1.0)
-    bare = ~index.vectors.any(1)
-    index.floor = float((index.weight * index.toxic)[bare].sum() / index.weight[bare].sum()) if bare.any() else share
-    index.ids = np.array([rows[i].doc_id for i in order], np.int64)
+    index.stands = np.where(index.toxic > 0, 1.0, (1 - share) / share * m1 / m0 if m0 and m1 and share else 1.0)
+    index.ids = np.array(ids, np.int64)[order]
+    got = np.concatenate([index.votes((vectors[0][i : j + 1] - vectors[0][i], *(v[vectors[0][i] : vectors[0][j]] for v in vectors[1:])), np.arange(i, j))[0] for i in range(0, len(ids), 256) for j in [min(i + 256, len(ids))]])
+    index.curve = monotone(got, index.toxic, index.stands)
     return index
 
 
@@ -202,8 +293,8 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         ix = sent.value
         for batch in batches:
             for b in slices(batch):
-                for i in range(0, b.num_rows, 256):
-                    part = b.slice(i, 256)
+                for i in range(0, b.num_rows, 512):
+                    part = b.slice(i, 512)
                     s, near = ix.score(ix.vectorise(*terms(part)))
                     ids = [[int(ix.ids[j]) for j in row if j >= 0] for row in near.tolist()]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.clip(s, 0, 1)), pa.array(ids, pa.list_(pa.int64()))], [*names, "toxicity", "evidence"])
