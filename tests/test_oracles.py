@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from textbastion.plans import registry
 
@@ -11,7 +12,7 @@ DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def rows(df):
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "~"
         return f"{v:.9g}" if isinstance(v, float) else str(v.tolist() if hasattr(v, "tolist") else v)
 

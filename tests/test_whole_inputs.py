@@ -9,7 +9,7 @@ def test_dedup_scan_reads_behind_character_200(spark):
     from textbastion.sources.planting import PHRASE, planted
 
     long = {r.doc_id for r in planted(spark, DIR).where("length(text) > 300").collect() if r.text.endswith(PHRASE)}
-    got = {r.doc_id: r.verdict for r in registry.QUERIES["dedup_scan_whole"](spark, DIR).collect()}
+    got = {r.doc_id: r.verdict for r in registry.QUERIES["dedup_scan"](spark, DIR).collect()}
     assert long and {got[i] for i in long} == {"injection"}
 
 
@@ -54,29 +54,15 @@ def test_decoders_read_whole_documents(spark):
         assert abs(got[i] - sum(-k / len(b) * log2(k / len(b)) for k in Counter(b).values())) < 1e-5, i
 
 
-def test_toxicity_counts_document_frequencies_over_all_documents(spark):
-    import numpy as np
-    import pyarrow as pa
-    from textbastion.llm import toxicity
-
-    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
-    index = toxicity.fit(docs, labels)
-    texts = [r.text for r in docs.select("text").collect()]
-    h, first = toxicity.terms(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))
-    own = [set(h[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
-    df = np.array([sum(int(t) in x for x in own) for t in index.vocabulary])
-    assert len(df) and np.allclose(index.idf, np.log((len(texts) + 1) / (df + 0.5)), atol=1e-5)
-
-
 def test_sessions_and_taints_take_all_projects(spark):
     from datetime import timedelta
 
-    from textbastion.operators.state import sessions_by_day
+    from textbastion.operators.state import sessions
     from textbastion.plans import registry
     from textbastion.sources.planting import hook_events
 
     events = hook_events(spark, DIR).collect()
-    got = registry.QUERIES["daemon_sessions_whole"](spark, DIR).collect()
+    got = registry.QUERIES["daemon_sessions"](spark, DIR).collect()
     assert sum(r.n for r in got) == len(events)
     for idle in ("20 minutes", "3 hours", "40 days"):
         want, last = [], None
@@ -85,9 +71,9 @@ def test_sessions_and_taints_take_all_projects(spark):
                 want.append([ts, 0])
             want[-1][1] += 1
             last = ts
-        assert sorted((r.start, r.n) for r in sessions_by_day(hook_events(spark, DIR).select("ts"), idle).collect()) == sorted(map(tuple, want)), idle
+        assert sorted((r.start, r.n) for r in sessions(hook_events(spark, DIR).select("ts"), idle).collect()) == sorted(map(tuple, want)), idle
     taints = {r.event_id for r in events if r.hook_event_name == "PostToolUse" and "ignore all" in r.content.lower()}
-    assert {r.event_id for r in registry.QUERIES["taint_events_whole"](spark, DIR).collect()} == taints
+    assert {r.event_id for r in registry.QUERIES["taint_events"](spark, DIR).collect()} == taints
 
 
 def brute_floor(text, at):

@@ -116,6 +116,63 @@ PROTECTED_DRIVE = ["Windows/", "Program Files/", "Program Files (x86)/", "Progra
 PROTECTED_DRIVE_USER = ["AppData/", "Desktop/", "Documents/", "Downloads/"]
 
 CODE_EXTENSIONS = ["sh", "bash", "zsh", "py", "js", "ts", "rb"]
+
+#: (names, tests that all have to hold, reason), in order. A test is a kind and its values, see ``operators/commands.py``.
+DESTRUCTIVE_RULES = [
+    (["sudo", "su", "doas", "pkexec"], [], "privilege escalation"),
+    (["shred", "mkfs", "dd", "wipefs", "truncate", "srm"], [], "destroys files"),
+    (["umount", "diskutil", "fdisk", "parted"], [], "changes disks or mounts"),
+    (["kill", "killall", "pkill", "xkill"], [], "ends processes"),
+    (["systemctl"], [("first", ["stop", "disable", "mask"])], "changes services"),
+    (["launchctl"], [("first", ["unload", "remove"])], "changes services"),
+    (["service"], [("first", ["stop"])], "changes services"),
+    (["brew"], [("first", ["uninstall", "remove", "rm"])], "removes packages"),
+    (["apt", "apt-get"], [("first", ["remove", "purge", "autoremove"])], "removes packages"),
+    (["pip", "pip3", "cargo"], [("first", ["uninstall"])], "removes packages"),
+    (["bun"], [("first", ["remove"])], "removes packages"),
+    (["npm"], [("first", ["uninstall", "rm", "remove"]), ("flag", ["-g"])], "removes global packages"),
+    (["git"], [("first", ["filter-branch", "filter-repo", "rebase"])], "rewrites history"),
+    (["git"], [("first", ["push"]), ("flag", ["--force", "-f"]), ("no_prefix", ["--force-with-lease"])], "overwrites remote history"),
+    (["git"], [("first", ["push"]), ("flag", ["--delete"])], "deletes a remote branch"),
+    (["git"], [("first", ["push"]), ("later_prefix", [":"])], "deletes a remote branch"),
+    (["git"], [("first", ["reset"]), ("flag", ["--hard"])], "discards changes"),
+    (["git"], [("first", ["clean"]), ("flag", ["-f"])], "removes untracked files"),
+    (["git"], [("first", ["branch"]), ("flag", ["-D"])], "deletes a branch"),
+    (["git"], [("first", ["checkout"]), ("argument", ["."])], "discards changes"),
+    (["git"], [("first", ["restore"]), ("rest", ["."])], "discards changes"),
+    (["git"], [("first", ["stash"]), ("second", ["drop", "clear"])], "removes stashed changes"),
+    (["git"], [("first", ["tag"]), ("flag", ["-d", "--delete"])], "deletes tags"),
+    (["psql", "mysql", "sqlite3"], [("contains", ["drop table", "drop database", "drop schema", "truncate table", "truncate "])], "destructive SQL"),
+    (["psql", "mysql", "sqlite3"], [("contains", ["alter table"]), ("contains", ["drop"])], "destructive SQL"),
+    (["psql", "mysql", "sqlite3"], [("contains", ["delete from"]), ("without", [" where "]), ("no_end", [" where"])], "deletes all rows"),
+    (["mongo", "mongosh"], [("contains", ["dropdatabase", ".drop()", "deletemany({})", "deletemany( {} )", "deletemany()"])], "destructive database operation"),
+    (["mongorestore"], [("flag", ["--drop"])], "drops data before a restore"),
+    (["redis-cli"], [("contains", ["flushall", "flushdb"])], "destructive database operation"),
+    (["ldb"], [("first", ["destroy"])], "destroys a database"),
+    (["rabbitmqctl"], [("first", ["delete_queue", "purge_queue"])], "destroys queue data"),
+    (["celery"], [("first", ["purge"])], "purges a queue"),
+    (["etcdctl"], [("first", ["defrag"])], "bulk-deletes keys"),
+    (["etcdctl"], [("first", ["del"]), ("flag", ["--prefix"])], "bulk-deletes keys"),
+    (["kafka-topics", "kafka-topics.sh"], [("flag", ["--delete"])], "deletes topics"),
+    (["kubectl"], [("first", ["delete"])], "deletes resources"),
+    (["terraform"], [("first", ["destroy"])], "deletes resources"),
+    (["helm"], [("first", ["uninstall"])], "deletes resources"),
+    (["crontab"], [("flag", ["-r"])], "removes scheduled jobs"),
+    (["iptables", "ip6tables"], [("flag", ["-F", "--flush"])], "flushes firewall rules"),
+    (["nft"], [("first", ["flush"])], "flushes firewall rules"),
+    (["nix-collect-garbage"], [], "removes store entries"),
+    (["nix"], [("sub", ["store gc", "store delete", "profile remove", "profile wipe-history"])], "removes store entries"),
+    (["nix-store"], [("sub", ["--gc", "--delete"])], "removes store entries"),
+    (["nix-env"], [("sub", ["-e", "--uninstall", "--delete-generations"])], "removes packages"),
+    (["nix-channel"], [("sub", ["--remove"])], "removes a channel"),
+    (["nixos-rebuild"], [("sub", ["switch"])], "switches the system"),
+    (["docker"], [("first", ["system"]), ("second", ["prune"])], "removes unused data"),
+    (["docker"], [("first", ["volume"]), ("second", ["rm", "prune"])], "removes volumes"),
+    (["docker"], [("first", ["rmi"]), ("flag", ["-f"])], "removes images"),
+]
+#: Commands whose targets have to lie in the project, and whose targets must not be protected.
+REMOVERS = ["rm", "rmdir"]
+CHANGERS = ["chmod", "chown", "chgrp"]
 # End of the fixed values.
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -176,24 +179,63 @@ def _entropy(b: bytes) -> float:
     return -sum(c / n * log2(c / n) for c in Counter(b).values()) if n else 0.0
 
 
+#: Distinct bytes that a window needs at least for its entropy to reach the mark.
+_LEAST = 23
+_STEPS = np.diff([c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)])
+
+
+def _hot_windows(text: str) -> np.ndarray:
+    """Starts of the windows whose entropy reaches the mark; linear in the text but for windows that come close."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(points) - WINDOW + 1
+    order = np.argsort(points, kind="stable")
+    before = np.full(len(points), -1)
+    same = points[order[1:]] == points[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    # a character repeats one within all windows that hold both
+    j = np.flatnonzero((before >= 0) & (np.arange(len(points)) - before < WINDOW))
+    step = np.bincount(np.maximum(j - WINDOW + 1, 0), minlength=len(points) + 2) - np.bincount(before[j] + 1, minlength=len(points) + 2)
+    distinct = WINDOW - np.cumsum(step)[:n]
+    wide = np.cumsum(np.concatenate([[0], (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)]))
+    # bytes that a window adds to its distinct characters: no more than the leading bytes that the text has
+    leading = sum(len(np.unique(points[points > least] >> shift)) for least, shift in ((0x7F, 6), (0x7FF, 12), (0xFFFF, 18)))
+    close = np.flatnonzero(distinct + np.minimum(wide[WINDOW:] - wide[:-WINDOW], leading) >= _LEAST)
+    ascii_only = wide[close + WINDOW] == wide[close]
+    hot = [i for i in close[~ascii_only].tolist() if _entropy(text[i : i + WINDOW].encode("utf-8", "surrogatepass")) >= MARK]
+    plain = close[ascii_only]
+    for lo in range(0, len(plain), 1 << 14):
+        at = plain[lo : lo + (1 << 14)]
+        rows = np.sort(points[at[:, None] + np.arange(WINDOW)].astype(np.uint8), axis=1)
+        total, again = np.zeros(len(at)), np.full(len(at), WINDOW)
+        for k in range(1, WINDOW):  # entries that are at least the k-th of their byte, less those that are a later one
+            later = (rows[:, k:] == rows[:, : WINDOW - k]).sum(1)
+            total += _STEPS[k - 1] * (again - later)
+            again = later
+            if not again.any():
+                break
+        total += _STEPS[WINDOW - 1] * again
+        hot += at[math.log2(WINDOW) - total / WINDOW >= MARK - 1e-12].tolist()
+    return np.sort(np.array(hot, np.int64))
+
+
 def high_entropy_regions(text: str) -> list[str]:
     """Merged stretches of the text in which windows of 32 characters have an entropy of 4.5 bits a byte or more."""
-    if len(text) <= WINDOW:
-        return [text] if text and _entropy(text.encode()) >= MARK else []
-    out, begin, end = [], None, 0
-    for i in range(len(text) - WINDOW + 1):
-        if _entropy(text[i : i + WINDOW].encode()) >= MARK:
-            if begin is not None and i > end:
-                out.append(text[begin:end])
-                begin = None
-            begin, end = i if begin is None else begin, i + WINDOW
-    return [*out, text[begin:end]] if begin is not None else out
+    if len(text) < WINDOW:
+        return [text] if text and _entropy(text.encode("utf-8", "surrogatepass")) >= MARK else []
+    hot = _hot_windows(text)
+    if not len(hot):
+        return []
+    cut = np.flatnonzero(np.diff(hot) > WINDOW)
+    return [text[i : j + WINDOW] for i, j in zip(hot[np.append(0, cut + 1)].tolist(), hot[np.append(cut, len(hot) - 1)].tolist())]
+
+
+_NO_LETTERS = bytes(i for i in range(256) if not chr(i).isascii() or not chr(i).isalpha())
+_ROTATED = bytes.maketrans((UPPER + LOWER).encode(), (UPPER[13:] + UPPER[:13] + LOWER[13:] + LOWER[:13]).encode())
 
 
 def _codecs(t: str):
     import base64
     import binascii
-    import codecs
     import html
     from urllib.parse import unquote
 
@@ -225,6 +267,8 @@ def _codecs(t: str):
     yield b64(t)
     yield hexed(t)
     for region in high_entropy_regions(t):
+        if len(region) == len(t):
+            continue  # tried above
         yield b64(region)
         yield hexed(region)
     u = unquote(t, errors="replace") if t.count("%") >= 3 else t
@@ -232,38 +276,59 @@ def _codecs(t: str):
     if "&" in t and ";" in t:
         h = re.sub(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", lambda m: html.unescape(m[0]), t)
         yield h if h != t and len(h.encode()) <= MOST else None
-    letters = sum(c.isascii() and c.isalpha() for c in t)
-    if letters >= 8 and letters * 2 >= len(t.encode()):
-        yield codecs.encode(t, "rot13")
+    raw = t.encode("utf-8", "surrogatepass")
+    letters = len(raw.translate(None, _NO_LETTERS))
+    if letters >= 8 and letters * 2 >= len(raw):
+        yield raw.translate(_ROTATED).decode("utf-8", "surrogatepass")
+
+
+_LATIN = {ord(a): b for a, b in zip(C.HOMOGLYPHS_FROM, C.HOMOGLYPHS_TO)} | {ord(c): None for c in C.BIDI_CONTROLS}
+
+
+_LOOKALIKE = re.compile(f"[{C.HOMOGLYPHS_FROM}{C.BIDI_CONTROLS}]")
+
+
+def to_latin(t: str) -> str:
+    return t.translate(_LATIN) if _LOOKALIKE.search(t) else t
 
 
 def normalize(t: str) -> str:
     """Compatibility form, look-alike letters as Latin ones, runs of white space as one blank."""
-    import unicodedata
-
-    table = {ord(a): b for a, b in zip(C.HOMOGLYPHS_FROM, C.HOMOGLYPHS_TO)} | {ord(c): None for c in C.BIDI_CONTROLS}
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).translate(table))
+    if not t.isascii():
+        t = to_latin(unicodedata.normalize("NFKC", t))
+    return re.sub(r"\s+", " ", t)
 
 
 def variants(t: str, most: int = 8, depth: int = 3) -> list[str]:
     """The normalised text and what its decodings, up to three deep, give; the budget of 8 counts before repeats are dropped."""
     out: list[str] = []
+    known: dict[str, list[str]] = {}  # rotating twice gives the text again
+
+    def decoded(s: str) -> Iterator[str]:
+        if s in known:
+            yield from known[s]
+            return
+        got = []
+        for d in _codecs(s):
+            if d is not None:
+                got.append(d)
+                yield d
+        known[s] = got
 
     def walk(s: str, level: int) -> None:
         if level >= depth:
             return
-        for d in _codecs(s):
+        for d in decoded(s):
             if len(out) >= most:
                 return
-            if d is not None:
-                out.append(d)
-                walk(d, level + 1)
+            out.append(d)
+            walk(d, level + 1)
 
     base = normalize(t)
     out.append(base)
     walk(base, 0)
     walk(t, 0)
-    return list(dict.fromkeys(map(normalize, out)))[:most]
+    return list(dict.fromkeys(normalize(x) if i else x for i, x in enumerate(out)))[:most]
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -274,3 +339,21 @@ def decode_variants(s: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def normalize_text(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else normalize(t))
+
+
+@F.pandas_udf(StringType())
+def decoded_verdict(stripped: pd.Series) -> pd.Series:
+    """What only a decoding of the text (without invisible characters) shows: injection, else secret, else null."""
+    automaton = _automaton(tuple(C.INJECTION_PHRASES))
+    secret = re.compile(secret_regex())
+
+    def one(t: str | None) -> str | None:
+        if not t:
+            return None
+        plain = to_latin(t)
+        found = variants(plain)
+        if any(next(automaton.iter(v.translate(_FOLD)), None) is not None for v in found):
+            return "injection"
+        return "secret" if any(secret.search(v) for v in (found if plain == t else variants(t))) else None
+
+    return stripped.map(one)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from . import commands as K
-from .scan import native_verdict
+from .scan import verdict
 from .state import IGNORED, MONITORED, UNKNOWN
 
 #: Strings of plug-in tools are scanned from this many bytes on.
@@ -49,12 +49,14 @@ def decide(events: DataFrame, cwd: str, home: str) -> DataFrame:
     e = e.withColumn("__exfil", K.exfiltration_udf(cmd)).withColumn("__destroys", K.destructive_column(cmd, F.lit(cwd), F.lit(home)))
     guarded = tool.isin("Write", "Edit", "NotebookEdit") & P.protected(path, F.lit(cwd), F.lit(home)).isNotNull()
     private = tool.isin("Read", "Write", "Edit", "Glob", "Grep") & P.has_sensitive_path(path)
-    found = native_verdict(scannable(tool, F.col("content"), F.col("command"))) == "injection"
-    rule = (
-        F.when(F.col("__gate") == "deny", "taint").when(F.col("__gate") == "allow", None).when(F.col("__exfil").isNotNull(), "exfil")
-        .when(F.col("__destroys").isNotNull(), "destructive").when(guarded, "protected_path").when(private, "sensitive_path").when(found, "injection")
+    # only rows that no earlier rule decides are scanned
+    sofar = (
+        F.when(F.col("__gate") == "deny", "taint").when(F.col("__gate") == "allow", "none").when(F.col("__exfil").isNotNull(), "exfil")
+        .when(F.col("__destroys").isNotNull(), "destructive").when(guarded, "protected_path").when(private, "sensitive_path")
     )
-    out = e.withColumn("rule", rule).drop("__gate", "__exfil", "__destroys")
+    e = e.withColumn("__rule", sofar)
+    found = verdict(F.when(F.col("__rule").isNull(), scannable(tool, F.col("content"), F.col("command")))) == "injection"
+    out = e.withColumn("rule", F.coalesce(F.nullif("__rule", F.lit("none")), F.when(F.col("__rule").isNull() & found, "injection"))).drop("__gate", "__exfil", "__destroys", "__rule")
     decision = F.when(F.col("rule").isin("taint", "exfil"), "deny").when(F.col("rule").isNotNull(), "ask")
     return out.withColumn("decision", decision).withColumn("exit_code", F.when(F.col("decision") == "deny", 2).otherwise(0))
 
@@ -67,5 +69,5 @@ def output_json(decision: Column, reason: Column) -> Column:
 
 def post(events: DataFrame, response: str) -> DataFrame:
     """Adds ``warning`` (injection, secret or null) to responses of monitored projects."""
-    v = native_verdict(F.col(response))
+    v = verdict(F.when(F.col("state") == MONITORED, F.col(response)))
     return events.withColumn("warning", F.when((F.col("state") == MONITORED) & v.isin("injection", "secret"), v))

@@ -40,21 +40,8 @@ def chunks_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else split_chunks(t))
 
 
-def chunks(t: Column) -> Column:
-    """Native form; the same as ``split_chunks`` where every character has one byte."""
-    n = F.octet_length(t)
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(STEP))
-    cut = F.filter(F.transform(starts, lambda i: F.substring(t, i + 1, F.lit(CHUNK))), lambda x: F.trim(x) != "")
-    return F.when(n <= CHUNK, F.array(t)).otherwise(cut)
-
-
-def head_tail(t: Column) -> Column:
-    """First and last 512 bytes of texts above 1024; for text of one byte a character."""
-    return F.when(F.octet_length(t) > HEAD + TAIL, F.concat(F.substring(t, F.lit(1), F.lit(HEAD)), F.lit(" "), F.substring(t, -F.lit(TAIL), F.lit(TAIL))))
-
-
 def join_ends(t: str) -> str | None:
-    """``head_tail`` for any text: both cuts moved back to a character."""
+    """First and last 512 bytes of texts above 1024, both cuts moved back to a character."""
     raw = t.encode()
     if len(raw) <= HEAD + TAIL:
         return None
@@ -94,8 +81,8 @@ def keyword_score(weight: float) -> Callable[[Column], Column]:
 STUBS = [Model("narrow", keyword_score(0.2)), Model("wide", keyword_score(0.4), 0.75)]
 
 
-def onnx_scorer(path: str, encode: Callable[[str], tuple[list[int], list[int]]]) -> Callable[[Column], Column]:
-    """Scores by an ONNX classifier, loaded once per worker; chunks of an Arrow batch share a session."""
+def onnx_scorer(path: str, encode: Callable[[str], tuple[list[int], list[int]]], batch: int = 32) -> Callable[[Column], Column]:
+    """Scores by an ONNX classifier, loaded once per worker; ``batch`` chunks go through it at a time."""
 
     @F.pandas_udf("float")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -106,23 +93,26 @@ def onnx_scorer(path: str, encode: Callable[[str], tuple[list[int], list[int]]])
         names = [i.name for i in session.get_inputs()]
         for s in batches:
             out = []
-            for t in s:
-                ids, mask = (np.array([x], np.int64) for x in encode(t))
-                z = session.run(None, dict(zip(names, (ids, mask))))[0][0]
-                e = np.exp(z - z.max())
-                out.append(float(1 - e[0] / e.sum()) if len(z) > 1 else 0.0)
+            for lo in range(0, len(s), batch):
+                both = [encode(t) for t in s.iloc[lo : lo + batch]]
+                width = max(len(ids) for ids, _ in both)
+                # short pieces are filled up; their mask leaves the filling out
+                ids, mask = (np.array([list(x[i]) + [0] * (width - len(x[i])) for x in both], np.int64) for i in (0, 1))
+                z = session.run(None, dict(zip(names, (ids, mask))))[0]
+                e = np.exp(z - z.max(1, keepdims=True))
+                out += (1 - e[:, 0] / e.sum(1)).tolist() if z.shape[1] > 1 else [0.0] * len(z)
             yield pd.Series(out, dtype="float32")
 
     return lambda t: score(t)
 
 
-def score_chunks(df: DataFrame, key: str, models: list[Model], text: str = "text", exact: bool = True) -> DataFrame:
+def score_chunks(df: DataFrame, key: str, models: list[Model], text: str = "text") -> DataFrame:
     """(key, model, threshold, chunk_no, score): all chunks and the head-and-tail piece, by each model.
 
     The models are a handful of literals, exploded beside the chunks, so no join and no shuffle is needed.
     """
     t = F.col(text)
-    parts, ends = (chunks_udf(t), head_tail_udf(t)) if exact else (chunks(t), head_tail(t))
+    parts, ends = chunks_udf(t), head_tail_udf(t)
     pieces = df.select(key, F.concat(parts, F.coalesce(F.filter(F.array(ends), lambda x: x.isNotNull()), F.array().cast("array<string>"))).alias("c"))
     rows = pieces.select(key, F.posexplode("c").alias("chunk_no", "chunk"))
     scored = rows.select(key, "chunk_no", F.explode(F.array(*(F.struct(F.lit(m.name).alias("model"), F.lit(m.threshold).cast("float").alias("threshold"), m.score(F.col("chunk")).alias("score")) for m in models))).alias("m"))

@@ -14,11 +14,24 @@ INJECTION, SECRET, CLEAN, ERROR = "injection", "secret", "clean", "error"
 MOST_BYTES = 16 << 20
 
 
+def native_injection(t: Column) -> Column:
+    """Invisible or look-alike characters, or a phrase in the text without them; all in the JVM."""
+    return T.has_invisible(t) | T.has_homoglyphs(t) | T.has_phrase_native(T.normalize_homoglyphs(T.strip_invisible(t)))
+
+
+def verdict(t: Column) -> Column:
+    """The whole cascade without a model: injection as given, injection in a decoding, secret as given, secret in a decoding, clean.
+
+    Only texts that the JVM finds no injection in (others are null) are decoded, in Arrow batches.
+    """
+    found = native_injection(t)
+    deep = T.decoded_verdict(F.when(~found, T.strip_invisible(t)))
+    return F.when(found | F.coalesce(deep == INJECTION, F.lit(False)), INJECTION).when(T.has_secret(T.strip_invisible(t)) | (deep == SECRET), SECRET).otherwise(CLEAN)
+
+
 def native_verdict(t: Column) -> Column:
     """The cascade without decoding, all in the JVM."""
-    plain = T.normalize_homoglyphs(T.strip_invisible(t))
-    found = T.has_invisible(t) | T.has_homoglyphs(t) | T.has_phrase_native(plain)
-    return F.when(found, INJECTION).when(T.has_secret(T.strip_invisible(t)), SECRET).otherwise(CLEAN)
+    return F.when(native_injection(t), INJECTION).when(T.has_secret(T.strip_invisible(t)), SECRET).otherwise(CLEAN)
 
 
 def scan_injection(df: DataFrame, text: str = "text", decode: bool = True, compat: bool = True) -> DataFrame:
@@ -27,6 +40,11 @@ def scan_injection(df: DataFrame, text: str = "text", decode: bool = True, compa
     ``compat`` looks for phrases in the text with look-alike letters normalised only; without it in the text as given as well,
     which finds phrases in scripts whose letters are normalised away. Each stage in Python sees only rows that are not decided.
     """
+    return _layers(df, text, decode, compat).drop("__deep")
+
+
+def _layers(df: DataFrame, text: str, decode: bool, compat: bool) -> DataFrame:
+    """``scan_injection`` with ``__deep``: what only a decoding shows."""
     t = F.col(text)
     first = df.withColumn("layer", F.when(T.has_invisible(t), "unicode").when(T.has_homoglyphs(t), "homoglyph"))
     plain = T.normalize_homoglyphs(T.strip_invisible(t))
@@ -36,20 +54,19 @@ def scan_injection(df: DataFrame, text: str = "text", decode: bool = True, compa
     if not compat:
         hit = hit | F.coalesce(T.has_phrase(F.when(F.col("layer").isNull(), t)), F.lit(False))
     out = first.withColumn("layer", F.coalesce("layer", F.when(hit, "phrase")))
-    if decode:
-        seen = out.withColumn("__variants", T.decode_variants(F.when(F.col("layer").isNull() & F.lit(True), t)))
-        joined = F.array_join("__variants", "\u0001")
-        out = seen.withColumn("layer", F.coalesce("layer", F.when(F.coalesce(T.has_phrase(joined), F.lit(False)), "decoded"))).drop("__variants")
-    return out
+    if not decode:
+        return out.withColumn("__deep", F.lit(None).cast("string"))
+    seen = out.withColumn("__deep", T.decoded_verdict(F.when(F.col("layer").isNull(), T.strip_invisible(t))))
+    return seen.withColumn("layer", F.coalesce("layer", F.when(F.col("__deep") == INJECTION, "decoded")))
 
 
 def fast_scan(df: DataFrame, text: str = "text", decode: bool = True) -> DataFrame:
     """Adds ``verdict``, ``layer`` and ``reason`` to each row; a null or oversized text is an error."""
     t = F.col(text)
     bad = t.isNull() | (F.octet_length(t) > MOST_BYTES)
-    out = scan_injection(df, text, decode)
-    secret = T.has_secret(T.strip_invisible(t))
-    out = out.withColumn("layer", F.coalesce("layer", F.when(secret, "secret")))
+    out = _layers(df, text, decode, True)
+    secret = T.has_secret(T.strip_invisible(t)) | F.coalesce(F.col("__deep") == SECRET, F.lit(False))
+    out = out.withColumn("layer", F.coalesce("layer", F.when(secret, "secret"))).drop("__deep")
     verdict = F.when(bad, ERROR).when(F.col("layer") == "secret", SECRET).when(F.col("layer").isNotNull(), INJECTION).otherwise(CLEAN)
     return out.withColumn("verdict", verdict).withColumn("reason", F.when(F.col("verdict").isin(INJECTION, SECRET), F.concat(F.lit("found by layer "), F.col("layer"))))
 

@@ -10,11 +10,18 @@ TTL_DAYS = 30
 
 
 def latest_state(commands: DataFrame) -> DataFrame:
-    """(repo, state) from (repo, ts, command): the last of ignore, monitor and reset wins; a reset repo has no row."""
-    last = commands.groupBy("repo").agg(F.max_by("command", "ts").alias("command"))
+    """(repo, state) from (repo, ts, event_id, command): the last of ignore, monitor and reset wins, by event_id among equal times; a reset repo has no row."""
+    last = commands.groupBy("repo").agg(F.max_by("command", F.struct("ts", "event_id")).alias("command"))
     return last.where("command <> 'reset'").select("repo", F.when(F.col("command") == "ignore", IGNORED).when(F.col("command") == "monitor", MONITORED).otherwise(UNKNOWN).alias("state"))
 
 
+def replay(commands: DataFrame) -> DataFrame:
+    """Each command (repo, ts, event_id, command) with the state it leaves: ``before`` and ``state``; a reset leaves unknown."""
+    order = Window.partitionBy("repo").orderBy("ts", "event_id")
+    state = F.when(F.col("command") == "ignore", IGNORED).when(F.col("command") == "monitor", MONITORED).otherwise(UNKNOWN)
+    return commands.withColumn("state", state).withColumn("before", F.coalesce(F.lag("state").over(order), F.lit(UNKNOWN)))
+
+
 def lookup_state(df: DataFrame, states: DataFrame, repo: str = "repo") -> DataFrame:
     """Adds ``state``, unknown where there is no row."""
     return df.join(states.withColumnRenamed("repo", repo), repo, "left").withColumn("state", F.coalesce("state", F.lit(UNKNOWN)))
@@ -32,8 +39,8 @@ def cache_lookup(keys: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
 
 
 def cache_put(cache: DataFrame, results: DataFrame) -> DataFrame:
-    """The cache with new results (key, code, ts); the newest of a key stays; errors are not cached."""
-    return cache.unionByName(results.where("code >= 0")).groupBy("key").agg(F.max_by("code", "ts").alias("code"), F.max("ts").alias("ts"))
+    """The cache with new results (key, code, ts); the newest of a key stays, the larger code among equal times; errors are not cached."""
+    return cache.unionByName(results.where("code >= 0")).groupBy("key").agg(F.max_by("code", F.struct("ts", "code")).alias("code"), F.max("ts").alias("ts"))
 
 
 def cache_prune(cache: DataFrame, as_of: Column) -> DataFrame:
@@ -45,25 +52,25 @@ def unreviewed(files: DataFrame, reviewed: DataFrame) -> DataFrame:
     return files.join(reviewed.select("repo", "path", "hash").distinct(), ["repo", "path", "hash"], "left_anti")
 
 
+def first_of(events: DataFrame, wanted: Column) -> DataFrame:
+    """(project, first): time and event_id of the first wanted event; one row a project with a map-side part, whatever a project's events are."""
+    return events.where(wanted).groupBy("project").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+
+
 def taint_replay(events: DataFrame, taints: Column) -> DataFrame:
     """Adds ``tainted``: whether an earlier event of the project tainted it. Ties in time are in event_id order."""
-    before = Window.partitionBy("project").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("tainted", F.coalesce(F.max(taints.cast("int")).over(before) == 1, F.lit(False)))
+    out = events.join(first_of(events, taints), "project", "left")
+    return out.withColumn("tainted", F.coalesce(F.struct("ts", "event_id") > F.col("first"), F.lit(False))).drop("first")
 
 
 def auto_monitor_replay(events: DataFrame, prompt: Column) -> DataFrame:
     """Adds ``state``: the first prompt of a project makes it monitored for that and all later events."""
-    so_far = Window.partitionBy("project").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("state", F.when(F.max(prompt.cast("int")).over(so_far) == 1, MONITORED).otherwise(UNKNOWN))
+    out = events.join(first_of(events, prompt), "project", "left")
+    return out.withColumn("state", F.when(F.struct("ts", "event_id") >= F.col("first"), MONITORED).otherwise(UNKNOWN)).drop("first")
 
 
 def sessions(requests: DataFrame, idle: str) -> DataFrame:
-    """(start, end, n): runs of requests that end when none comes for ``idle``."""
-    return requests.groupBy(F.session_window("ts", idle).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def sessions_by_day(requests: DataFrame, idle: str) -> DataFrame:
-    """``sessions`` without one task for all rows: runs within each day first, then joined where no time-out lies between two days' runs.
+    """(start, end, n): runs of requests that end when none comes for ``idle``. Runs within each day come first, then what no time-out parts is joined.
 
     The second step sees one row for each run within a day, a number that grows with the days and the pauses and not with the requests.
     """

@@ -63,6 +63,13 @@ def destructive(spark, d):
     return hook_events(spark, d).select("event_id", K.destructive_column(F.col("command"), F.lit(CWD), F.lit(HOME)).isNotNull().alias("hit"))
 
 
+@query("destructive_simple", f"{WITH} SELECT event_id, CASE WHEN regexp_matches(command, {quoted(K.SIMPLE)}) THEN CASE WHEN {listed(*DESTRUCTIVE_HITS)} THEN 'destructive' ELSE 'harmless' END ELSE 'not simple' END AS kind FROM ev")
+def destructive_simple(spark, d):
+    """The rules on simple commands without the parser."""
+    hit = K.destructive_simple(F.col("command"), F.lit(CWD), F.lit(HOME))
+    return hook_events(spark, d).select("event_id", F.when(hit, "destructive").when(~hit, "harmless").otherwise("not simple").alias("kind"))
+
+
 # Rules on the raw command, all in the JVM: (kind, SQL condition) on c = the lower-case command, with ctx and src as its contexts.
 _HAS = lambda col, words: "(" + " OR ".join(f"contains({col}, {quoted(w)})" for w in words) + ")"
 RAW_RULES = [

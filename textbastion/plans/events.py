@@ -27,9 +27,7 @@ def query(name: str, sql: str | None = None):
 
 WITH = f"WITH ev AS ({EVENTS_SQL}) "
 _STATE = "CASE project % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'ignored' ELSE 'monitored' END"
-_TAINTS = "(hook_event_name = 'PostToolUse' AND contains(lower(content), 'ignore all') AND project % 10 = 3)"
-#: The same in any project.
-_TAINTS_WHOLE = "(hook_event_name = 'PostToolUse' AND contains(lower(content), 'ignore all'))"
+_TAINTS = "(hook_event_name = 'PostToolUse' AND contains(lower(content), 'ignore all'))"
 _ST = f"st AS (SELECT *, {_STATE} AS state, coalesce(max({_TAINTS}::INT) OVER (PARTITION BY project ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS tainted FROM ev)"
 
 
@@ -125,41 +123,13 @@ def taint_events(spark, d):
     return hook_events(spark, d).where(_TAINTS).select("event_id", source.alias("source"))
 
 
-def whole(name: str) -> str:
-    """The SQL of the query of that name with responses of any project as taints."""
-    return ORACLE_SQL[name].replace(_TAINTS, _TAINTS_WHOLE)
-
-
-@query("taint_events_whole", whole("taint_events"))
-def taint_events_whole(spark, d):
-    source = F.coalesce(F.concat(F.lit("file: "), F.nullif("path", F.lit(""))), F.concat(F.lit("command: "), F.col("command")))
-    return hook_events(spark, d).where(_TAINTS_WHOLE).select("event_id", source.alias("source"))
-
-
-@query("gate_whole", whole("gate"))
-def gate_whole(spark, d):
-    return staged(spark, d, _TAINTS_WHOLE).select("event_id", E.gate(F.col("state"), F.col("tainted")).alias("gate"))
-
-
-@query("pre_tool_use_whole", whole("pre_tool_use"))
-def pre_tool_use_whole(spark, d):
-    calls = staged(spark, d, _TAINTS_WHOLE).where(E.route(F.col("hook_event_name")) == "pre")
-    return E.decide(calls, CWD, HOME).select("event_id", "rule", "decision")
-
-
-@query("hook_decisions_whole", whole("hook_decisions"))
-def hook_decisions_whole(spark, d):
-    calls = staged(spark, d, _TAINTS_WHOLE).where(E.route(F.col("hook_event_name")) == "pre")
-    return E.decide(calls, CWD, HOME).select("event_id", "exit_code", E.output_json(F.col("decision"), F.col("rule")).alias("output"))
-
-
 @query("audit_text", f"{WITH}, f AS (SELECT DISTINCT project, path, content AS text FROM ev), v AS (SELECT project, path, {SQL_VERDICT} AS verdict FROM f WHERE text <> '') SELECT project, CASE verdict WHEN 'injection' THEN 'INJECTION' ELSE 'SECRET' END AS category, count(*) AS n FROM v WHERE verdict <> 'clean' GROUP BY 1, 2")
 def audit_text(spark, d):
     """Findings of each project's files by category."""
-    from ..operators.scan import native_verdict
+    from ..operators.scan import verdict
 
     files = hook_events(spark, d).select("project", "path", "content").where("content <> ''").distinct()
-    v = files.select("project", native_verdict(F.col("content")).alias("verdict")).where("verdict <> 'clean'")
+    v = files.select("project", verdict(F.col("content")).alias("verdict")).where("verdict <> 'clean'")
     return v.groupBy("project", F.when(F.col("verdict") == "injection", "INJECTION").otherwise("SECRET").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -182,10 +152,10 @@ def audit_permissions(spark, d):
 @query("diff_scan", f"{WITH}, f AS (SELECT event_id, content AS text FROM ev WHERE regexp_matches(path, '(?i)\\.(rs|py)$')) SELECT {SQL_VERDICT} AS verdict, count(*) AS n FROM f GROUP BY 1")
 def diff_scan(spark, d):
     """Changed files with a chosen extension by verdict."""
-    from ..operators.scan import native_verdict
+    from ..operators.scan import verdict
 
     files = hook_events(spark, d).where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("rs", "py"))
-    return files.groupBy(native_verdict(F.col("content")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy(verdict(F.col("content")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("json_strings", f"SELECT event_id, {_case(_STRINGS)} AS strings FROM events")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import commands, events, state, text
+from . import audit, commands, events, state, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _m in (text, commands, events, state):
+for _m in (text, commands, events, state, audit):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
 

@@ -26,7 +26,7 @@ WITH = f"WITH ev AS ({EVENTS_SQL}) "
 #: Commands on projects: one event in four.
 COMMAND = "CASE event_id % 12 WHEN 0 THEN 'ignore' WHEN 4 THEN 'monitor' WHEN 8 THEN 'reset' END"
 CMDS = f"{WITH}, cmds AS (SELECT project AS repo, ts, event_id, {COMMAND} AS command FROM ev WHERE event_id % 4 = 0)"
-LATEST = "latest AS (SELECT repo, CASE command WHEN 'ignore' THEN 'ignored' ELSE 'monitored' END AS state FROM (SELECT repo, arg_max(command, ts) AS command FROM cmds GROUP BY repo) WHERE command <> 'reset')"
+LATEST = "latest AS (SELECT repo, CASE command WHEN 'ignore' THEN 'ignored' ELSE 'monitored' END AS state FROM (SELECT repo, arg_max(command, (ts, event_id)) AS command FROM cmds GROUP BY repo) WHERE command <> 'reset')"
 AS_OF = "1998-06-01 00:00:00"
 
 
@@ -55,16 +55,16 @@ def repo_admin(spark, d):
 _GUARD = "guard AS (SELECT DISTINCT project AS repo, path, sha256(content) AS hash FROM ev WHERE event_id % 3 = 0)"
 
 
-@query("repo_reset", f"{CMDS}, {_GUARD} SELECT repo, path, hash FROM guard WHERE repo NOT IN (SELECT repo FROM cmds WHERE command = 'reset')")
+@query("repo_reset", f"{CMDS}, {_GUARD} SELECT repo, path, hash FROM guard WHERE repo NOT IN (SELECT repo FROM cmds WHERE command = 'reset' AND repo % 5 = 0)")
 def repo_reset(spark, d):
-    """The review cache without the projects that were reset."""
+    """The review cache without the projects that were reset; of the planted resets those of one project in five are carried out, so that rows stay."""
     ev = hook_events(spark, d)
     guard = ev.where("event_id % 3 = 0").select(F.col("project").alias("repo"), "path", F.sha2("content", 256).alias("hash")).distinct()
-    return S.reset(guard, cmds(spark, d).where("command = 'reset'").select("repo").distinct())
+    return S.reset(guard, cmds(spark, d).where("command = 'reset' AND repo % 5 = 0").select("repo").distinct())
 
 
 _KEY = "sha256(content || chr(1) || path)"
-_CACHE = f"cache AS (SELECT key, arg_max(code, ts) AS code, max(ts) AS ts FROM (SELECT {_KEY} AS key, (event_id % 3 - 1)::INT AS code, ts FROM ev WHERE event_id % 2 = 0) WHERE code >= 0 GROUP BY key)"
+_CACHE = f"cache AS (SELECT key, arg_max(code, epoch_us(ts) * 10 + code) AS code, max(ts) AS ts FROM (SELECT {_KEY} AS key, (event_id % 3 - 1)::INT AS code, ts FROM ev WHERE event_id % 2 = 0) WHERE code >= 0 GROUP BY key)"
 
 
 def _results(spark, d, rest: int):
@@ -101,23 +101,13 @@ def scan_cache_lookup(spark, d):
     return S.cache_lookup(keys, _cache(spark, d), _as_of(spark, d))
 
 
-@query("dedup_scan", f"WITH planted AS ({PLANTED_SQL}) SELECT doc_id, {SQL_VERDICT} AS verdict FROM (SELECT doc_id, substring(text, 1, 200) AS text FROM planted)")
+@query("dedup_scan", f"WITH planted AS ({PLANTED_SQL}) SELECT doc_id, {SQL_VERDICT} AS verdict FROM planted")
 def dedup_scan(spark, d):
     """Each distinct text is scanned once and its verdict joined back by hash."""
-    from ..operators.scan import native_verdict
-
-    p = planted(spark, d).select("doc_id", F.substring("text", 1, 200).alias("text")).withColumn("key", F.sha2("text", 256))
-    once = p.groupBy("key").agg(F.first("text").alias("text")).select("key", native_verdict(F.col("text")).alias("verdict"))
-    return p.select("doc_id", "key").join(once, "key").select("doc_id", "verdict")
-
-
-@query("dedup_scan_whole", f"WITH planted AS ({PLANTED_SQL}) SELECT doc_id, {SQL_VERDICT} AS verdict FROM planted")
-def dedup_scan_whole(spark, d):
-    """``dedup_scan`` keyed and scanned on whole texts, where it takes the first 200 characters."""
-    from ..operators.scan import native_verdict
+    from ..operators.scan import verdict
 
     p = planted(spark, d).select("doc_id", "text", F.sha2("text", 256).alias("key"))
-    once = p.groupBy("key").agg(F.first("text").alias("text")).select("key", native_verdict(F.col("text")).alias("verdict"))
+    once = p.groupBy("key").agg(F.first("text").alias("text")).select("key", verdict(F.col("text")).alias("verdict"))
     return p.select("doc_id", "key").join(once, "key").select("doc_id", "verdict")
 
 
@@ -134,18 +124,11 @@ def state_replay(spark, d):
     return S.auto_monitor_replay(hook_events(spark, d), F.col("hook_event_name") == "UserPromptSubmit").select("event_id", "state")
 
 
-@query("daemon_sessions", f"""{WITH}, q AS (SELECT ts, CASE WHEN ts <= lag(ts) OVER (ORDER BY ts) + INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM ev WHERE project % 10 = 0),
+@query("daemon_sessions", f"""{WITH}, q AS (SELECT ts, CASE WHEN ts <= lag(ts) OVER (ORDER BY ts) + INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM ev),
 g AS (SELECT ts, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM q) SELECT min(ts) AS started, count(*) AS n FROM g GROUP BY g""")
 def daemon_sessions(spark, d):
-    s = S.sessions(hook_events(spark, d).where("project % 10 = 0").select("ts"), "20 minutes")
-    return s.select(F.col("start").cast("timestamp_ntz").alias("started"), "n")
-
-
-@query("daemon_sessions_whole", f"""{WITH}, q AS (SELECT ts, CASE WHEN ts <= lag(ts) OVER (ORDER BY ts) + INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM ev),
-g AS (SELECT ts, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM q) SELECT min(ts) AS started, count(*) AS n FROM g GROUP BY g""")
-def daemon_sessions_whole(spark, d):
-    """``daemon_sessions`` over the requests of all projects."""
-    s = S.sessions_by_day(hook_events(spark, d).select("ts"), "20 minutes")
+    """Runs of requests of all projects, as one process serves them."""
+    s = S.sessions(hook_events(spark, d).select("ts"), "20 minutes")
     return s.select(F.col("start").cast("timestamp_ntz").alias("started"), "n")
 
 
@@ -155,12 +138,15 @@ w AS (SELECT repo, event_id, path, {SQL_VERDICT} AS verdict FROM v)
 SELECT repo, event_id, path, verdict FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY event_id) AS r FROM w WHERE verdict <> 'clean') WHERE r = 1""")
 def guard_scan(spark, d):
     """The first file of each project that needs a question: not reviewed yet, and not clean."""
-    from pyspark.sql import Window
-
-    from ..operators.scan import native_verdict
+    from ..operators.scan import verdict
 
     ev = hook_events(spark, d).select("event_id", F.col("project").alias("repo"), "path", "content", F.sha2("content", 256).alias("hash"))
     seen = ev.where("event_id % 3 = 0")
-    v = S.unreviewed(ev, seen).withColumn("verdict", native_verdict(F.col("content"))).where("verdict <> 'clean'")
-    first = F.row_number().over(Window.partitionBy("repo").orderBy("event_id"))
-    return v.withColumn("r", first).where("r = 1").select("repo", "event_id", "path", "verdict")
+    v = S.unreviewed(ev, seen).withColumn("verdict", verdict(F.col("content"))).where("verdict <> 'clean'")
+    return v.groupBy("repo").agg(F.min(F.struct("event_id", "path", "verdict")).alias("first")).select("repo", "first.event_id", "first.path", "first.verdict")
+
+
+@query("repo_history", f"{CMDS}, s AS (SELECT *, CASE command WHEN 'ignore' THEN 'ignored' WHEN 'monitor' THEN 'monitored' ELSE 'unknown' END AS state FROM cmds) SELECT event_id, state, coalesce(lag(state) OVER (PARTITION BY repo ORDER BY ts, event_id), 'unknown') AS before FROM s")
+def repo_history(spark, d):
+    """Every command on a project with the state before and after."""
+    return S.replay(cmds(spark, d)).select("event_id", "before", "state")

@@ -9,7 +9,7 @@ from ..functions import catalogs as C
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import ml, scan
-from ..sources.planting import PAYLOADS_SQL, PLANTED_SQL, encoded, payloads, planted, quoted, values_df, values_sql
+from ..sources.planting import CONTENT_INJECTION, CONTENT_SECRET, KEY_URL, PAYLOADS_SQL, PHRASE_URL, PLANTED_SQL, encoded, payloads, planted, quoted, values_df, values_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -46,7 +46,11 @@ BODY = "regexp_replace(text, '^﻿', '')"
 SQL_INVISIBLE = rf"(regexp_matches({BODY}, '\p{{Co}}') OR len(regexp_extract_all({BODY}, '\p{{Cf}}')) >= 3)"
 SQL_PHRASE = any_of(LOW.format(t=SQL_NORM.format(t=SQL_STRIP)), C.INJECTION_PHRASES)
 SQL_SECRET = matches(SQL_STRIP, T.secret_regex())
-SQL_VERDICT = f"CASE WHEN {SQL_INVISIBLE} OR {SQL_HOMO} OR {SQL_PHRASE} THEN 'injection' WHEN {SQL_SECRET} THEN 'secret' ELSE 'clean' END"
+#: What only the decode stage finds: planted percent escapes, of which there are six bytes less at least, in texts that decode to 4096 bytes at most, and planted contents.
+_SHORT = "strlen(regexp_replace(text, '\\s+', ' ', 'g')) - 6 <= 4096"
+SQL_DEEP_INJECTION = f"((contains(text, {quoted(PHRASE_URL)}) AND {_SHORT}) OR text IN ({', '.join(map(quoted, CONTENT_INJECTION))}))"
+SQL_DEEP_SECRET = f"((contains(text, {quoted(KEY_URL)}) AND {_SHORT}) OR text IN ({', '.join(map(quoted, CONTENT_SECRET))}))"
+SQL_VERDICT = f"CASE WHEN {SQL_INVISIBLE} OR {SQL_HOMO} OR {SQL_PHRASE} OR {SQL_DEEP_INJECTION} THEN 'injection' WHEN {SQL_SECRET} OR {SQL_DEEP_SECRET} THEN 'secret' ELSE 'clean' END"
 WITH = f"WITH planted AS ({PLANTED_SQL}) "
 WITH_PAYLOADS = f"WITH payloads AS ({PAYLOADS_SQL}) "
 
@@ -77,14 +81,14 @@ per_doc("ip_url", "hit", P.has_ip_url, SQL_IP)
 per_doc("secret_kinds", "kinds", lambda t: F.array_join(T.secret_kinds(t), ","), "concat_ws(',', " + ", ".join(f"CASE WHEN {matches('text', p)} THEN '{k}' END" for k, p in (C.SECRET_PATTERNS | C.OWN_SECRET_PATTERNS).items()) + ")")
 
 
-@query("scan_injection", f"{WITH} SELECT doc_id, CASE WHEN {SQL_INVISIBLE} THEN 'unicode' WHEN {SQL_HOMO} THEN 'homoglyph' WHEN {SQL_PHRASE} THEN 'phrase' END AS layer FROM planted")
+@query("scan_injection", f"{WITH} SELECT doc_id, CASE WHEN {SQL_INVISIBLE} THEN 'unicode' WHEN {SQL_HOMO} THEN 'homoglyph' WHEN {SQL_PHRASE} THEN 'phrase' WHEN {SQL_DEEP_INJECTION} THEN 'decoded' END AS layer FROM planted")
 def scan_injection(spark, d):
-    return scan.scan_injection(planted(spark, d), decode=False).select("doc_id", "layer")
+    return scan.scan_injection(planted(spark, d)).select("doc_id", "layer")
 
 
 @query("fast_scan", f"{WITH} SELECT doc_id, {SQL_VERDICT} AS verdict FROM planted")
 def fast_scan(spark, d):
-    return scan.fast_scan(planted(spark, d), decode=False).select("doc_id", "verdict")
+    return scan.fast_scan(planted(spark, d)).select("doc_id", "verdict")
 
 
 @query("fast_scan_decoded")
@@ -96,8 +100,8 @@ def fast_scan_decoded(spark, d):
 
 @query("verdict_counts", f"{WITH} SELECT lang, {SQL_VERDICT} AS verdict, count(*) AS n FROM planted GROUP BY ROLLUP (lang, 2) HAVING NOT (lang IS NULL AND verdict IS NOT NULL)".replace("ROLLUP (lang, 2)", f"ROLLUP (lang, {SQL_VERDICT})"))
 def verdict_counts(spark, d):
-    """Flagship: the native cascade, counted by language and verdict with subtotals."""
-    v = planted(spark, d).select("lang", scan.native_verdict(F.col("text")).alias("verdict"))
+    """Flagship: the cascade with the decode stage, counted by language and verdict with subtotals."""
+    v = planted(spark, d).select("lang", scan.verdict(F.col("text")).alias("verdict"))
     return v.rollup("lang", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -107,7 +111,7 @@ def findings_topk(spark, d):
     """The first two findings of each source and kind."""
     from pyspark.sql import Window
 
-    v = planted(spark, d).select("doc_id", "source", scan.native_verdict(F.col("text")).alias("verdict")).where("verdict <> 'clean'")
+    v = planted(spark, d).select("doc_id", "source", scan.verdict(F.col("text")).alias("verdict")).where("verdict <> 'clean'")
     return v.withColumn("rank", F.row_number().over(Window.partitionBy("source", "verdict").orderBy("doc_id"))).where("rank <= 2").select("source", "verdict", "doc_id", "rank")
 
 
@@ -202,19 +206,19 @@ _CHUNKS_KEPT = f"{_CHUNKS}, k AS (SELECT c.* FROM c JOIN a USING (doc_id) WHERE
 
 @query("chunks", f"{_ASCII_DOCS}, {_CHUNKS_KEPT} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS chunk_no, chunk FROM k")
 def chunks(spark, d):
-    return ascii_docs(spark, d).select("doc_id", F.posexplode(ml.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+    return ascii_docs(spark, d).select("doc_id", F.posexplode(ml.chunks_udf(F.col("text"))).alias("chunk_no", "chunk"))
 
 
 @query("chunks_exact", f"{_ASCII_DOCS}, {_CHUNKS_KEPT} SELECT doc_id, count(*) AS n_chunks, sum(length(chunk))::BIGINT AS n_chars FROM k GROUP BY doc_id")
 def chunks_exact(spark, d):
-    """The Arrow form for any text, here on the same input as the native one."""
+    """Chunks and characters of each text."""
     c = ascii_docs(spark, d).select("doc_id", F.explode(ml.chunks_udf(F.col("text"))).alias("c"))
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("c")).alias("n_chars"))
 
 
 @query("head_tail", f"{_ASCII_DOCS} SELECT doc_id, CASE WHEN length(text) > 1024 THEN left(text, 512) || ' ' || right(text, 512) END AS head_tail FROM a")
 def head_tail(spark, d):
-    return ascii_docs(spark, d).select("doc_id", ml.head_tail(F.col("text")).alias("head_tail"))
+    return ascii_docs(spark, d).select("doc_id", ml.head_tail_udf(F.col("text")).alias("head_tail"))
 
 
 def _stub_sql(weight: float) -> str:
@@ -228,13 +232,13 @@ _SCORED = (f"{_ASCII_DOCS}, {_CHUNKS_KEPT}, p AS (SELECT doc_id, chunk FROM k UN
 
 @query("ml_scores", f"{_SCORED} SELECT doc_id, model, count(*) AS n, round(max(score)::DOUBLE, 5) AS best FROM s GROUP BY doc_id, model")
 def ml_scores(spark, d):
-    s = ml.score_chunks(ascii_docs(spark, d), "doc_id", ml.STUBS, exact=False)
+    s = ml.score_chunks(ascii_docs(spark, d), "doc_id", ml.STUBS)
     return s.groupBy("doc_id", "model").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score").cast("double"), 5).alias("best"))
 
 
 @query("ml_scan", f"{_SCORED} SELECT doc_id, bool_or(score >= coalesce(threshold, 0.5::FLOAT)) AS hit FROM s GROUP BY doc_id")
 def ml_scan(spark, d):
-    return ml.ensemble(ml.score_chunks(ascii_docs(spark, d), "doc_id", ml.STUBS, exact=False), "doc_id", 0.5).select("doc_id", "hit")
+    return ml.ensemble(ml.score_chunks(ascii_docs(spark, d), "doc_id", ml.STUBS), "doc_id", 0.5).select("doc_id", "hit")
 
 
 _CLEAN_VERDICT = SQL_VERDICT
@@ -247,9 +251,9 @@ def full_scan(spark, d):
 
     def score(df):
         a = df.select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
-        return ml.ensemble(ml.score_chunks(a, "doc_id", ml.STUBS, exact=False), "doc_id", 0.3)
+        return ml.ensemble(ml.score_chunks(a, "doc_id", ml.STUBS), "doc_id", 0.3)
 
-    return scan.full_scan(planted(spark, d), score, "doc_id", decode=False).select("doc_id", "verdict")
+    return scan.full_scan(planted(spark, d), score, "doc_id").select("doc_id", "verdict")
 
 
 @query("chunks_whole")
