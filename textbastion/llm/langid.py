@@ -2,14 +2,15 @@
 
 ``fit`` counts letter n-grams (one to three characters' bytes within words, hashed to ``BUCKETS`` buckets) for every language over
 all documents with a language: one pass, sums by (language, bucket) with a map-side part; what reaches the driver is bounded
-by languages x buckets. A document is a mixture of languages over its n-grams: expectation-maximisation estimates the proportions,
+by ``max_langs`` x buckets. A document is a mixture of languages over its n-grams: expectation-maximisation estimates the proportions,
 first for all languages, then for the sets of the 1, 2, ... largest; the set with the best penalised log-likelihood (BIC)
 stays. The predicted language has the largest proportion, which is the score.
 
-Documents are processed in slices of about 1 MB of text; the EM runs for all documents of a slice at once.
+Documents are processed in slices of about 1 MB of text (a longer one alone); the EM runs for all documents of a slice at once, and each stops for itself.
 
 Defined cases: null text and text without a letter: ``und`` with score 0; rows with a null or empty language are not learnt
-from; with no learnt language every text is ``und``; equal texts get equal answers.
+from; with no learnt language every text is ``und``; equal texts get equal answers, in whatever slice they come; an empty table gives no rows; of input
+columns with the names of the output the output's stay.
 """
 
 from __future__ import annotations
@@ -69,50 +70,67 @@ class Model:
     def infer(self, keys: np.ndarray, counts: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
         """Proportions (documents x languages) of the selected language set."""
         k = len(self.langs)
-        row = keys // BUCKETS
-        lik = self.prob[keys % BUCKETS]
-        starts = np.searchsorted(row, np.arange(n))
-        full = np.flatnonzero(np.bincount(row, minlength=n))
-        # windows overlap: about a fifth of them is independent evidence
-        w = (counts / 5.0).astype(np.float32)
-        total = np.zeros(n, np.float32)
-        total[full] = np.add.reduceat(w, starts[full]) if len(full) else 0
-
-        def sums(x: np.ndarray) -> np.ndarray:
-            out = np.zeros((n, *x.shape[1:]), np.float64)
-            if len(full):
-                out[full] = np.add.reduceat(x, starts[full], axis=0)
-            return out
-
-        def em(pi: np.ndarray, rounds: int) -> np.ndarray:
-            for _ in range(rounds):
-                r = lik * pi[row].astype(np.float32)
-                r *= (w / np.maximum(r.sum(1), 1e-30))[:, None]
-                pi = sums(r) / np.maximum(total, 1e-30)[:, None]
-            return pi
-
-        def loglik(pi: np.ndarray) -> np.ndarray:
-            return sums(w * np.log(np.maximum((lik * pi[row].astype(np.float32)).sum(1), 1e-30)))
-
-        alone = np.argmax(sums(w[:, None] * np.log(lik)), axis=1)
-        best = np.eye(k)[alone]
-        value = loglik(best)
-        if k > 1:
-            free = em(np.full((n, k), 1.0 / k), rounds)
+        best = np.zeros((n, k))
+        value = np.full(n, -np.inf)
+        x = _Slice(self, keys, counts, n)
+        alone = x.sums(x.w[:, None] * np.log(x.lik))
+        best[x.docs, np.argmax(alone, axis=1)] = 1
+        value[x.docs] = x.loglik(best[x.docs])
+        if k > 1 and len(x.docs):
+            free = np.zeros((n, k))
+            free[x.docs] = x.em(np.full((len(x.docs), k), 1.0 / k), rounds)
             rank = np.argsort(np.argsort(-free, axis=1, kind="stable"), axis=1, kind="stable")
             for size in range(2, k + 1):
-                pi = np.where(rank < size, np.maximum(free, 1e-6), 0)
-                pi = em(pi / pi.sum(1, keepdims=True), max(2, rounds // 3))
-                got = loglik(pi) - 0.5 * (size - 1) * np.log(np.maximum(total, 1))
-                better = got > value
+                d = x.docs
+                pi = np.where(rank[d] < size, np.maximum(free[d], 1e-6), 0)
+                pi = x.em(pi / pi.sum(1, keepdims=True), max(2, rounds // 3))
+                got = x.loglik(pi) - 0.5 * (size - 1) * np.log(np.maximum(x.total, 1))
+                better = got > value[d]
+                best[d[better]], value[d[better]] = pi[better], got[better]
+                # a document whose larger set is no better is done, whatever the others of the slice do
                 if not better.any():
                     break
-                best[better], value[better] = pi[better], got[better]
+                x.keep(better)
         return best
 
 
-def fit(docs: DataFrame) -> Model:
-    """Model of all (text, lang) rows with a language."""
+class _Slice:
+    """Likelihoods of the n-grams of some documents, sorted by document, and the documents that have any."""
+
+    def __init__(self, model: Model, keys: np.ndarray, counts: np.ndarray, n: int):
+        row = keys // BUCKETS
+        self.docs, self.row = np.unique(row, return_inverse=True)
+        self.lik = model.prob[keys % BUCKETS]
+        # windows overlap: about a fifth of them is independent evidence
+        self.w = (counts / 5.0).astype(np.float32)
+        self._index()
+
+    def _index(self) -> None:
+        self.starts = np.searchsorted(self.row, np.arange(len(self.docs)))
+        self.total = np.add.reduceat(self.w, self.starts) if len(self.docs) else np.zeros(0, np.float32)
+
+    def keep(self, some: np.ndarray) -> None:
+        own = some[self.row]
+        self.row, self.lik, self.w = (np.cumsum(some) - 1)[self.row[own]], self.lik[own], self.w[own]
+        self.docs = self.docs[some]
+        self._index()
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.starts, axis=0).astype(np.float64) if len(self.docs) else np.zeros((0, *x.shape[1:]))
+
+    def em(self, pi: np.ndarray, rounds: int) -> np.ndarray:
+        for _ in range(rounds):
+            r = self.lik * pi[self.row].astype(np.float32)
+            r *= (self.w / np.maximum(r.sum(1), 1e-30))[:, None]
+            pi = self.sums(r) / np.maximum(self.total, 1e-30)[:, None]
+        return pi
+
+    def loglik(self, pi: np.ndarray) -> np.ndarray:
+        return self.sums(self.w * np.log(np.maximum((self.lik * pi[self.row].astype(np.float32)).sum(1), 1e-30)))
+
+
+def fit(docs: DataFrame, max_langs: int = 1000) -> Model:
+    """Model of all (text, lang) rows with a language. More than ``max_langs`` languages are an error."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -131,7 +149,10 @@ def fit(docs: DataFrame) -> Model:
 
     given = docs.select("text", "lang").where("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL")
     rows = Scratch(docs.sparkSession).keep(given.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    got = rows.toPandas()  # languages x buckets at most
+    langs = rows.select("lang").distinct().limit(max_langs + 1).count()
+    if langs > max_langs:
+        raise ValueError(f"more than {max_langs} languages; raise max_langs if the executors have 64 KB for each")
+    got = rows.toPandas()  # max_langs x buckets at most
     langs = sorted(got.lang.unique())
     counts = np.full((BUCKETS, len(langs)), 0.5)
     for i, lang in enumerate(langs):
