@@ -39,7 +39,7 @@ def grams(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys row * BUCKETS + bucket of the texts' n-grams, one per occurrence group, and the counts."""
     raw, off = buffers(b.column("text"))
     n = len(off) - 1
-    size = len(raw) + n + 2
+    size = max(len(raw) + n + 2, 5)
     # a boundary before each text and after the last
     at = np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(off)) + 1
     c = np.zeros(size, np.uint32)
