@@ -55,7 +55,6 @@ def has_phrase_native(t: Column, phrases: list[str] | None = None) -> Column:
 
 
 _AUTOMATA: dict[tuple[str, ...], object] = {}
-_FOLD = {i: i + 32 for i in range(65, 91)}
 
 
 def _automaton(phrases: tuple[str, ...]):
@@ -64,12 +63,17 @@ def _automaton(phrases: tuple[str, ...]):
 
         a = ahocorasick.Automaton()
         for p in phrases:
-            a.add_word(p.translate(_FOLD), p)
+            a.add_word(fold(p), p)
         a.make_automaton()
         _AUTOMATA[phrases] = a
     return _AUTOMATA[phrases]
 
 
+def fold(t: str) -> str:
+    """A-Z in lower case, other letters as they are."""
+    return t.lower() if t.isascii() else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def has_phrase(t: Column, phrases: list[str] | None = None) -> Column:
     """One pass of an automaton over Arrow batches; faster than an alternation from about ten phrases on. Null stays null."""
     wanted = tuple(phrases or C.INJECTION_PHRASES)
@@ -78,7 +82,7 @@ def has_phrase(t: Column, phrases: list[str] | None = None) -> Column:
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = _automaton(wanted)
         for s in batches:
-            yield pd.Series([None if x is None else next(a.iter(x.translate(_FOLD)), None) is not None for x in s], dtype="object")
+            yield pd.Series([None if x is None else next(a.iter(fold(x)), None) is not None for x in s], dtype="object")
 
     return found(t)
 
@@ -341,19 +345,35 @@ def normalize_text(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else normalize(t))
 
 
+def _finder():
+    automaton, secret = _automaton(tuple(C.INJECTION_PHRASES)), re.compile(secret_regex())
+    phrase = lambda v: next(automaton.iter(fold(v)), None) is not None
+    return phrase, secret
+
+
+def _decoded(t: str, plain: str, phrase, secret) -> str | None:
+    found = variants(plain)
+    if any(map(phrase, found)):
+        return "injection"
+    return "secret" if any(secret.search(v) for v in (found if plain == t else variants(t))) else None
+
+
 @F.pandas_udf(StringType())
 def decoded_verdict(stripped: pd.Series) -> pd.Series:
     """What only a decoding of the text (without invisible characters) shows: injection, else secret, else null."""
-    automaton = _automaton(tuple(C.INJECTION_PHRASES))
-    secret = re.compile(secret_regex())
+    phrase, secret = _finder()
+    return stripped.map(lambda t: _decoded(t, to_latin(t), phrase, secret) if t else None)
+
+
+@F.pandas_udf(StringType())
+def phrase_verdict(stripped: pd.Series) -> pd.Series:
+    """``decoded_verdict``, or injection where a phrase stands in the text itself with look-alike letters made Latin."""
+    phrase, secret = _finder()
 
     def one(t: str | None) -> str | None:
         if not t:
             return None
         plain = to_latin(t)
-        found = variants(plain)
-        if any(next(automaton.iter(v.translate(_FOLD)), None) is not None for v in found):
-            return "injection"
-        return "secret" if any(secret.search(v) for v in (found if plain == t else variants(t))) else None
+        return "injection" if phrase(plain) else _decoded(t, plain, phrase, secret)
 
     return stripped.map(one)

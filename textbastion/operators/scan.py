@@ -14,24 +14,15 @@ INJECTION, SECRET, CLEAN, ERROR = "injection", "secret", "clean", "error"
 MOST_BYTES = 16 << 20
 
 
-def native_injection(t: Column) -> Column:
-    """Invisible or look-alike characters, or a phrase in the text without them; all in the JVM."""
-    return T.has_invisible(t) | T.has_homoglyphs(t) | T.has_phrase_native(T.normalize_homoglyphs(T.strip_invisible(t)))
-
-
 def verdict(t: Column) -> Column:
     """The whole cascade without a model: injection as given, injection in a decoding, secret as given, secret in a decoding, clean.
 
-    Only texts that the JVM finds no injection in (others are null) are decoded, in Arrow batches.
+    Characters and secrets are looked for in the JVM. Texts that their characters don't decide go through one Arrow function for phrases and decodings.
     """
-    found = native_injection(t)
-    deep = T.decoded_verdict(F.when(~found, T.strip_invisible(t)))
-    return F.when(found | F.coalesce(deep == INJECTION, F.lit(False)), INJECTION).when(T.has_secret(T.strip_invisible(t)) | (deep == SECRET), SECRET).otherwise(CLEAN)
-
-
-def native_verdict(t: Column) -> Column:
-    """The cascade without decoding, all in the JVM."""
-    return F.when(native_injection(t), INJECTION).when(T.has_secret(T.strip_invisible(t)), SECRET).otherwise(CLEAN)
+    found = T.has_invisible(t) | T.has_homoglyphs(t)
+    plain = T.strip_invisible(t)
+    deep = T.phrase_verdict(F.when(~found, plain))
+    return F.when(found | F.coalesce(deep == INJECTION, F.lit(False)), INJECTION).when(T.has_secret(plain) | (deep == SECRET), SECRET).otherwise(CLEAN)
 
 
 def scan_injection(df: DataFrame, text: str = "text", decode: bool = True, compat: bool = True) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import state as S
-from ..sources.planting import CWD, EVENTS_SQL, HOME, hook_events, quoted
+from ..operators import guard as G
+from ..sources.planting import CONTENTS, CWD, EVENTS_SQL, HOME, hook_events, quoted
 from ..functions import paths as P
 from . import commands as PC
 from .text import SQL_VERDICT
@@ -45,6 +46,10 @@ def _case(values: list) -> str:
     return f"CASE event_id % {len(values)} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else quoted(v)}" for i, v in enumerate(values)) + " END"
 
 
+def _case_of(key: str, values: list) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {quoted(v)}" for i, v in enumerate(values)) + " END"
+
+
 def _payloads(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id")
     return e.withColumn("raw", F.element_at(F.array(*map(F.lit, _JSONS)), (F.col("event_id") % len(_JSONS) + 1).cast("int")))
@@ -110,6 +115,43 @@ def hook_decisions(spark, d):
     return E.decide(calls, CWD, HOME).select("event_id", "exit_code", E.output_json(F.col("decision"), F.col("rule")).alias("output"))
 
 
+#: Three instruction files above each project, the nearest first; the second of one project in seven can't be read.
+_RANKS = 3
+_GUARDED = f"""files AS (SELECT project AS repo, rank, 'up' || rank || '/INSTRUCTIONS.md' AS path, CASE WHEN project % 7 = 0 AND rank = 1 THEN NULL ELSE {_case_of('(project * 3 + rank)', CONTENTS)} END AS text
+FROM (SELECT DISTINCT project FROM ev), (SELECT unnest(range({_RANKS})) AS rank)), fresh AS (SELECT * FROM files WHERE NOT (repo % 5 = 0 AND rank = 0 AND text IS NOT NULL)),
+bad AS (SELECT repo, rank, path, text IS NULL AS again, CASE WHEN text IS NULL THEN 'unreadable' ELSE 'scan' END AS reason FROM fresh WHERE text IS NULL OR ({SQL_VERDICT}) <> 'clean'),
+asks AS (SELECT * FROM (SELECT *, (row_number() OVER w)::INT AS n, coalesce(max(again::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS blocked FROM bad WINDOW w AS (PARTITION BY repo ORDER BY rank)) WHERE blocked = 0)"""
+
+
+def instruction_files(spark, d):
+    p = hook_events(spark, d).select(F.col("project").alias("repo")).distinct().withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(_RANKS - 1))))
+    text = F.element_at(F.array(*map(F.lit, CONTENTS)), F.expr(f"int((repo * 3 + rank) % {len(CONTENTS)} + 1)"))
+    return p.select("repo", "rank", F.concat(F.lit("up"), F.col("rank").cast("string"), F.lit("/INSTRUCTIONS.md")).alias("path"), F.when(~F.expr("repo % 7 = 0 AND rank = 1"), text).alias("text"))
+
+
+def instruction_questions(spark, d, score=None):
+    """Which instruction files ask, where the nearest of one project in five has been reviewed."""
+    files = instruction_files(spark, d)
+    seen = files.where("repo % 5 = 0 AND rank = 0 AND text IS NOT NULL").select("repo", "path", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return G.questions(files, seen, score)
+
+
+@query("guard_questions", f"{WITH}, {_GUARDED} SELECT repo, n, path, reason, again FROM asks")
+def guard_questions(spark, d):
+    return instruction_questions(spark, d)
+
+
+_GUARDED_RULED = f"""{_DECIDED}, {_GUARDED}, live AS (SELECT event_id, project, row_number() OVER (PARTITION BY project ORDER BY ts, event_id) AS n FROM st WHERE hook_event_name NOT IN ('UserPromptSubmit', 'PostToolUse') AND NOT tainted AND state NOT IN ('ignored', 'unknown')),
+hit AS (SELECT event_id FROM live JOIN asks ON repo = project AND (asks.n = live.n OR (asks.again AND live.n >= asks.n)))"""
+
+
+@query("pre_tool_use_guarded", f"{_GUARDED_RULED} SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM hit) THEN 'instructions' ELSE rule END AS rule FROM ruled")
+def pre_tool_use_guarded(spark, d):
+    """Decisions with instruction files: a project's first calls ask about the files that need a review."""
+    calls = staged(spark, d).where(E.route(F.col("hook_event_name")) == "pre")
+    return E.decide(calls, CWD, HOME, instruction_questions(spark, d)).select("event_id", "rule")
+
+
 @query("post_tool_use", f"{WITH}, v AS (SELECT event_id, {_STATE} AS state, {SQL_VERDICT.replace('text', 'content')} AS verdict FROM ev WHERE hook_event_name = 'PostToolUse') SELECT event_id, CASE WHEN state = 'monitored' AND verdict <> 'clean' THEN verdict END AS warning FROM v")
 def post_tool_use(spark, d):
     e = hook_events(spark, d).where("hook_event_name = 'PostToolUse'").withColumn("state", F.expr(_STATE))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import audit, commands, events, state, text
+from . import audit, commands, events, state, streams, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _m in (text, commands, events, state, audit):
+for _m in (text, commands, events, state, audit, streams):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
 

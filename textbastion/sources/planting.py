@@ -133,7 +133,12 @@ EVENTS_SQL = "SELECT event_id, ts, user_id AS project, " + ", ".join(f"{_case(f'
 
 def hook_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool-call events planted over ``events``: event_id, ts, project, tool_name, command, path, content, hook_event_name."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", F.col("user_id").alias("project"))
+    return plant_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def plant_events(events: DataFrame) -> DataFrame:
+    """The same over any table or stream of events."""
+    e = events.select("event_id", "ts", F.col("user_id").alias("project"))
     for f, v in EVENT_FIELDS.items():
         i = F.expr(f"(event_id * {_STEP[f]} + event_id div {len(v)}) % {len(v)} + 1").cast("int")
         e = e.withColumn(f, F.element_at(F.array(*map(F.lit, v)), i))
