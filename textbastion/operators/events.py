@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.settings import Lists
 from . import commands as K
 from .guard import asked
 from .scan import verdict
@@ -43,11 +44,11 @@ def working_directory(cwd: Column, default: str) -> Column:
     return F.coalesce(F.nullif(cwd, F.lit("")), F.lit(default))
 
 
-def decide(events: DataFrame, cwd: str, home: str, asks: DataFrame | None = None) -> DataFrame:
+def decide(events: DataFrame, cwd: str, home: str, asks: DataFrame | None = None, lists: Lists = Lists()) -> DataFrame:
     """Adds ``decision`` (deny, ask or null), ``rule`` and ``exit_code`` to tool calls with tool_name, command, path, content, state and tainted.
 
     Order: gate, instruction files (``asks`` of ``guard.questions``), data leaving by a shell command, destructive command or protected path, sensitive path, content. Commands of rows
-    that the gate decides are null for the parsers in Python.
+    that the gate decides are null for the parsers in Python. ``lists`` are the catalogs with a user's changes.
     """
     tool, path = F.col("tool_name"), F.col("path")
     e = events.withColumn("__gate", gate(F.col("state"), F.col("tainted")))
@@ -55,9 +56,9 @@ def decide(events: DataFrame, cwd: str, home: str, asks: DataFrame | None = None
         reached = asked(e.where("__gate IS NULL").select("project", "ts", "event_id"), asks).where("guard_path IS NOT NULL")
         e = e.join(reached.select("event_id", F.lit("instructions").alias("__guard")), "event_id", "left").withColumn("__gate", F.coalesce("__gate", "__guard")).drop("__guard")
     cmd = F.when((tool == "Bash") & F.col("__gate").isNull(), F.col("command"))
-    e = e.withColumn("__exfil", K.exfiltration_udf(cmd)).withColumn("__destroys", K.destructive_column(cmd, F.lit(cwd), F.lit(home)))
+    e = e.withColumn("__exfil", K.exfiltration_column(cmd, lists)).withColumn("__destroys", K.destructive_column(cmd, F.lit(cwd), F.lit(home), lists.destructive_add, lists.destructive_remove))
     guarded = tool.isin("Write", "Edit", "NotebookEdit") & P.protected(path, F.lit(cwd), F.lit(home)).isNotNull()
-    private = tool.isin("Read", "Write", "Edit", "Glob", "Grep") & P.has_sensitive_path(path)
+    private = tool.isin("Read", "Write", "Edit", "Glob", "Grep") & P.has_sensitive_path(path, segments=list(lists.segments))
     # only rows that no earlier rule decides are scanned
     sofar = (
         F.when(F.col("__gate") == "deny", "taint").when(F.col("__gate") == "allow", "none").when(F.col("__gate") == "instructions", "instructions").when(F.col("__exfil").isNotNull(), "exfil")

@@ -63,10 +63,10 @@ def fast_scan(df: DataFrame, text: str = "text", decode: bool = True) -> DataFra
 
 
 def full_scan(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, text: str = "text", decode: bool = True) -> DataFrame:
-    """``fast_scan`` and, for the rows it leaves clean only, ``score``: (key, text) -> (key, hit boolean)."""
+    """``fast_scan`` and, for the rows it leaves clean only, ``score``: (key, text) -> (key, hit boolean); a null hit is a model that failed, which counts as injection."""
     fast = fast_scan(df, text, decode)
     rest = fast.where(F.col("verdict") == CLEAN).select(key, T.strip_invisible(F.col(text)).alias("text"))
-    hits = score(rest).select(key, "hit")
+    hits = score(rest).select(key, F.coalesce("hit", F.lit(True)).alias("hit"), F.col("hit").isNull().alias("failed"))
     out = fast.join(hits, key, "left")
     model = (F.col("verdict") == CLEAN) & F.coalesce("hit", F.lit(False))
-    return out.withColumn("layer", F.when(model, "model").otherwise(F.col("layer"))).withColumn("verdict", F.when(model, INJECTION).otherwise(F.col("verdict"))).drop("hit")
+    return out.withColumn("layer", F.when(model & F.col("failed"), "no model").when(model, "model").otherwise(F.col("layer"))).withColumn("verdict", F.when(model, INJECTION).otherwise(F.col("verdict"))).drop("hit", "failed")

@@ -5,19 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.audit import FOLDER, KINDS, SETTINGS
 from ..operators.events import SCHEMA
 
 
+def _rows(spark: SparkSession, root: str, paths: list[str], recursive: bool) -> DataFrame:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    there = [p for p in paths if len(hadoop(p).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop(p)) or [])]
+    if not there:
+        return spark.createDataFrame([], "repo string, path string, text string")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(there)
+    top = root.rstrip("/").split("://")[-1]
+    top = top if "://" not in root else "/" + top.partition("/")[2]
+    parts = F.split(F.substring_index(F.col("path"), top + "/", -1), "/")
+    return raw.where(F.size(parts) > 1).select(F.get(parts, F.lit(0)).alias("repo"), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "/").alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+
+
 def project_files(spark: SparkSession, root: str) -> DataFrame:
     """(repo, path, text) of all files below the projects in ``root`` (a folder of projects); text is null where the bytes are no UTF-8.
 
-    Any store that Spark reads will do; contents are read only where ``text`` is used.
+    Any store that Spark reads will do. Like every Spark source it leaves out hidden files and folders; see ``config_files`` for those.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    top = root.rstrip("/").split("://")[-1].rsplit(":", 1)[-1]
-    rest = F.substring_index(F.col("path"), top + "/", -1)
-    parts = F.split(rest, "/")
-    return raw.where(F.size(parts) > 1).select(F.get(parts, F.lit(0)).alias("repo"), F.array_join(F.slice(parts, F.lit(2), F.size(parts)), "/").alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    return _rows(spark, root, [root], True)
+
+
+def config_files(spark: SparkSession, root: str, folder: str = FOLDER) -> DataFrame:
+    """``project_files`` of the configuration folder of each project, which may be hidden: one level of its folders, and the settings."""
+    base = f"{root.rstrip('/')}/*/{folder}"
+    return _rows(spark, root, [f"{base}/{k}/*" for k in KINDS if k != "settings"] + [f"{base}/{s}" for s in SETTINGS], False)
 
 
 def changed(old: DataFrame, new: DataFrame, extensions: list[str] = ()) -> DataFrame:
