@@ -9,7 +9,7 @@ from ..functions import catalogs as C
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import ml, scan
-from ..sources.planting import CONTENT_INJECTION, CONTENT_SECRET, KEY_URL, PAYLOADS_SQL, PHRASE_URL, PLANTED_SQL, encoded, payloads, planted, quoted, values_df, values_sql
+from ..sources.planting import CONTENT_INJECTION, CONTENT_SECRET, CONVERSATIONS_SQL, KEY_URL, PAYLOADS_SQL, PHRASE_URL, PLANTED_SQL, conversations, encoded, payloads, planted, quoted, values_df, values_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -115,6 +115,32 @@ def findings_topk(spark, d):
     return v.withColumn("rank", F.row_number().over(Window.partitionBy("source", "verdict").orderBy("doc_id"))).where("rank <= 2").select("source", "verdict", "doc_id", "rank")
 
 
+@query("conversation_verdicts", f"WITH c AS ({CONVERSATIONS_SQL}) SELECT conv_id, turn, {SQL_VERDICT} AS verdict FROM c")
+def conversation_verdicts(spark, d):
+    """Every turn of every conversation."""
+    return conversations(spark, d).select("conv_id", "turn", scan.verdict(F.col("text")).alias("verdict"))
+
+
+@query("conversation_worst", f"""WITH c AS ({CONVERSATIONS_SQL}), v AS (SELECT conv_id, role, {SQL_VERDICT} AS verdict FROM c)
+SELECT conv_id, role, CASE WHEN bool_or(verdict = 'injection') THEN 'injection' WHEN bool_or(verdict = 'secret') THEN 'secret' ELSE 'clean' END AS worst, count(*) AS turns FROM v GROUP BY conv_id, role""")
+def conversation_worst(spark, d):
+    """The worst verdict of each role in a conversation."""
+    v = conversations(spark, d).select("conv_id", "role", scan.verdict(F.col("text")).alias("verdict"))
+    worst = F.when(F.bool_or(F.col("verdict") == "injection"), "injection").when(F.bool_or(F.col("verdict") == "secret"), "secret").otherwise("clean")
+    return v.groupBy("conv_id", "role").agg(worst.alias("worst"), F.count(F.lit(1)).alias("turns"))
+
+
+def per_page(name: str, expr, sql: str | None) -> None:
+    """The hash of a transform of every web page."""
+    query(name, sql and f"WITH p AS (SELECT page_id, coalesce(html, '') AS text FROM pages) SELECT page_id, sha256({sql}) AS hash FROM p")(
+        lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.sha2(expr(F.coalesce("html", F.lit(""))).cast("binary"), 256).alias("hash")))
+
+
+per_page("pages_strip_invisible", T.strip_invisible, SQL_STRIP)
+per_page("pages_collapse_ws", T.collapse_whitespace, r"regexp_replace(text, '\s+', ' ', 'g')")
+per_page("pages_decode_html", T.decode_html, None)
+
+
 # ---------------------------------------------------------------- decoders
 
 def per_payload(name: str, expr, sql: str | None) -> None:

@@ -55,6 +55,15 @@ def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("text", F.concat(F.coalesce("text", F.lit("")), _pick(TEXT_CASES, "doc_id")))
 
 
+CONVERSATIONS_SQL = f"SELECT conv_id, turn, role, coalesce(text, '') || {_case('(conv_id * 7 + turn)', TEXT_CASES)} AS text FROM conversations"
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a case behind each text."""
+    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("__case", F.expr(f"int((conv_id * 7 + turn) % {len(TEXT_CASES)} + 1)"))
+    return d.select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, TEXT_CASES)), F.col("__case"))).alias("text"))
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     n = len(PAYLOADS) + 1
