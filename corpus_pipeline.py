@@ -1,6 +1,6 @@
 """The cleaning pipeline of a training corpus: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
 
-All stages but the last return the columns of ``documents``; between stages the rows are written and read again. Rows with a null doc_id or text
+All stages but the last return the columns of ``documents``; between stages the rows are written and read again. Rows with a null text
 pass the filters; a stage that changes a text sets n_chars anew.
 """
 
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go. The model learns from ``labels`` joined to the corpus itself."""
     docs = docs.select(*COLUMNS)
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, index).where("toxicity < 0.5").select(*COLUMNS)
+    return toxicity.score(docs, index).where("toxicity < 0.5 OR text IS NULL").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
