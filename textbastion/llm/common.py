@@ -94,6 +94,38 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) ->
         i = j
 
 
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal keys, and the end."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    new[:1] = True
+    return np.append(np.flatnonzero(new), len(keys[0]))
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Groups of adjacent rows with equal (long) keys, each as an iterator of slices that has to be used up first."""
+    held: list = []
+
+    def parts() -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        for b in batches:
+            if b.num_rows:
+                at = runs(*(b.column(k).to_numpy() for k in keys)).tolist()
+                for i, j in zip(at, at[1:]):
+                    yield tuple(b.column(k)[i].as_py() for k in keys), b.slice(i, j - i)
+
+    feed = parts()
+
+    def rest(key: tuple) -> Iterator[pa.RecordBatch]:
+        while held and held[0][0] == key:
+            yield held.pop()[1]
+            held.extend(x for x in [next(feed, None)] if x)
+
+    held.extend(x for x in [next(feed, None)] if x)
+    while held:
+        yield held[0][0], rest(held[0][0])
+
+
 # ---------------------------------------------------------------- hashing
 
 _rng = np.random.Generator(np.random.PCG64(20240607))

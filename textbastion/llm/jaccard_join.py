@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, partitions, shingle_sets, slices, table
+from .common import Scratch, by_group, components, mix, partitions, runs, shingle_sets, slices, table
 
 #: Tokens that get a set its leader, overlap (in percent) with a leader to follow it, followers in a block, tokens in a bucket.
-HEADS, FOLLOW, BLOCK, BUCKET = 6, 40, 1024, 500_000
+HEADS, FOLLOW, BLOCK, BUCKET = 6, 40, 1024, 2_000_000
+#: Bits of the filter that keeps texts without a partner out of a shuffle.
+FILTER = 1 << 26
 U64 = np.uint64
 LOW = U64((1 << 32) - 1)
 
@@ -50,7 +52,7 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig, n, slack): 128-bit hash and size of the set; slack counts tokens that share their low half with another of the set."""
+    """(doc_id, sig, name, n, slack): 128-bit hash of the set, its first half as a number, and size; slack counts tokens that share their low half with another of the set."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,47 +61,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for s in shingle_sets(b.column("text")):
                     n.append(len(s)), sig.append(signature(s) if len(s) else None)
                     slack.append(len(s) - len(np.unique(s & LOW)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), pa.array(n, pa.int32()), pa.array(slack, pa.int32())], ["doc_id", "sig", "n", "slack"])
+                name = [None if g is None else int.from_bytes(g[:8], "little", signed=True) for g in sig]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), pa.array(name, pa.int64()), pa.array(n, pa.int32()), pa.array(slack, pa.int32())], ["doc_id", "sig", "name", "n", "slack"])
 
-    return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, sig binary, n int, slack int")
+    return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, sig binary, name long, n int, slack int")
 
 
-def runs(*keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal keys, and the end."""
-    new = np.zeros(len(keys[0]), bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    new[:1] = True
-    return np.append(np.flatnonzero(new), len(keys[0]))
+def repeated(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """(name, rep): for each set, by the first half of its signature, how many of its tokens other sets hold as well (at least that many less its slack), summed over buckets of tokens in ``parts`` parts by name.
 
-
-def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
-    """Groups of adjacent rows with equal (long) keys, each as an iterator of slices that has to be used up first."""
-    held: list = []
-
-    def parts() -> Iterator[tuple[tuple, pa.RecordBatch]]:
-        for b in batches:
-            if b.num_rows:
-                at = runs(*(b.column(k).to_numpy() for k in keys)).tolist()
-                for i, j in zip(at, at[1:]):
-                    yield tuple(b.column(k)[i].as_py() for k in keys), b.slice(i, j - i)
-
-    feed = parts()
-
-    def rest(key: tuple) -> Iterator[pa.RecordBatch]:
-        while held and held[0][0] == key:
-            yield held.pop()[1]
-            held.extend(x for x in [next(feed, None)] if x)
-
-    held.extend(x for x in [next(feed, None)] if x)
-    while held:
-        yield held[0][0], rest(held[0][0])
-
-
-def repeated(docs: DataFrame, buckets: int) -> DataFrame:
-    """(sig, rep): for each set, how many of its tokens other sets hold as well (at least that many less its slack), summed over buckets of tokens.
-
-    A task sends a set once, so a text that a third of all rows hold costs one entry a task.
+    A task sends a set once, so a text that a third of all rows hold costs one entry a task. An entry has half of the token's hash (two tokens of one
+    half only let a set pass that step 2 drops) and the set's place in the task's list: 6 bytes.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,29 +82,29 @@ def repeated(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             token = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
             bucket = ((token >> U64(32)) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             at = runs(bucket[order])
-            names = np.frombuffer(b"".join(sigs), "V16")
+            names = np.frombuffer(b"".join(sigs), np.uint64)
             out: list[list] = [[], [], [], []]
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
                 x = order[i:j]
                 own = owner[x]
                 u = own[runs(own)[:-1]]  # the owners ascend within a bucket
-                for col, v in zip(out, (int(bucket[x[0]]), (token[x] & LOW).astype(np.uint32).tobytes(), np.searchsorted(u, own).astype(np.uint32).tobytes(), names[u].tobytes())):
+                for col, v in zip(out, (int(bucket[x[0]]), (token[x] & LOW).astype(np.uint32).tobytes(), np.searchsorted(u, own).astype(np.uint16).tobytes(), names[u].tobytes())):
                     col.append(v)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "own", "sigs"])
 
         for batch in batches:
             for b in slices(batch):
                 for s in shingle_sets(b.column("text")):
-                    if len(s) and (g := signature(s)) not in seen:
+                    if len(s) and (g := signature(s)[:8]) not in seen:
                         seen.add(g), sigs.append(g), sets.append(s)
                         size += len(s)
-                if size > 2_000_000:
-                    yield flush()
-                    sigs, sets, size = [], [], 0
+                    if size > 4_000_000 or len(sets) == 1 << 16:
+                        yield flush()
+                        sigs, sets, size = [], [], 0
         if sets:
             yield flush()
 
@@ -141,30 +113,64 @@ def repeated(docs: DataFrame, buckets: int) -> DataFrame:
             token, own, sigs, n = [], [], [], 0
             for b in group:
                 for t, o, g in zip(b.column("token"), b.column("own"), b.column("sigs")):
-                    token.append(np.frombuffer(t.as_buffer(), np.uint32)), own.append(np.frombuffer(o.as_buffer(), np.uint32).astype(np.uint64) + U64(n))
-                    sigs.append(np.frombuffer(g.as_buffer(), "S16").copy())
+                    token.append(np.frombuffer(t.as_buffer(), np.uint32)), own.append(np.frombuffer(o.as_buffer(), np.uint16).astype(np.uint32) + np.uint32(n))
+                    sigs.append(np.frombuffer(g.as_buffer(), np.int64))
                     n += len(sigs[-1])
-            names, inverse = np.unique(np.concatenate(sigs).view("V16").view([("a", ">u8"), ("b", ">u8")]), return_inverse=True)
-            own = inverse[np.concatenate(own).astype(np.int64)].astype(np.uint64)
+            names, inverse = np.unique(np.concatenate(sigs), return_inverse=True)
+            own = inverse[np.concatenate(own)].astype(np.uint64)
             x = np.unique(np.concatenate(token).astype(np.uint64) << U64(32) | own)
             at = runs(x >> U64(32))
             times = np.repeat(np.diff(at), np.diff(at))
             rep = np.bincount((x[times > 1] & LOW).astype(np.int64), minlength=len(names))
             hit = np.flatnonzero(rep)
-            body = names[hit].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([body[16 * i : 16 * i + 16] for i in range(len(hit))], pa.binary()), pa.array(rep[hit])], ["sig", "rep"])
+            hit = hit[np.argsort(names[hit].view(np.uint64) % U64(parts), kind="stable")]
+            part = (names[hit].view(np.uint64) % U64(parts)).astype(np.int64)
+            at = runs(part)
+            cut = list(zip(at[:-1].tolist(), at[1:].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), *(pa.array([c[hit[i:j]].tobytes() for i, j in cut], pa.binary()) for c in (names, rep.astype(np.int32)))], ["part", "name", "rep"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in by_group(batches, ["part"]):
+            x = blobs(group, {"name": np.int64, "rep": np.int32})
+            names, inverse = np.unique(x["name"], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(inverse, x["rep"]).astype(np.int64))], ["name", "rep"])
 
     sent = docs.select("text").mapInArrow(send, "bucket long, token binary, own binary, sigs binary")
-    dealt = sent.repartition(partitions(docs.sparkSession, buckets, 2), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "sig binary, rep long").groupBy("sig").agg(F.sum("rep").alias("rep"))
+    dealt = sent.repartition(partitions(docs.sparkSession, buckets, 1), "bucket").sortWithinPartitions("bucket")
+    counted = dealt.mapInArrow(count, "part long, name binary, rep binary")
+    return counted.repartition(partitions(docs.sparkSession, parts, 1), "part").sortWithinPartitions("part").mapInArrow(total, "name long, rep long")
+
+
+def bits_of(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER bits with those of the ids' hashes set; 8 MB at any number of ids."""
+    parts = 64
+    each = FILTER // parts
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(mix(b.column("id").to_numpy().view(np.uint64)) % U64(FILTER))
+            cut = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64) * U64(each))
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([(at[i:j] % U64(each)).astype(np.uint32).tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())], pa.binary())], ["part", "body"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, body in zip(b.column("part").to_pylist(), b.column("body")):
+                maps.setdefault(p, np.zeros(each, bool))[np.frombuffer(body.as_buffer(), np.uint32)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m, bitorder="little").tobytes() for m in maps.values()], pa.binary())], ["part", "body"])
+
+    out = np.zeros((parts, each // 8), np.uint8)
+    for r in ids.select("id").mapInArrow(mark, "part int, body binary").repartition(parts, "part").mapInArrow(add, "part int, body binary").collect():
+        out[r.part] = np.frombuffer(r.body, np.uint8)
+    return out.ravel()
 
 
 def alive_sets(scratch: Scratch, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(k, sig, id, copies, n, own, tokens): the distinct sets that may have a partner other than copies; k is a number of their own, id their smallest doc_id."""
-    sets = rows.where("n > 0").groupBy("sig", "n", "slack").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("copies")).where("id IS NOT NULL")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    rep = repeated(docs, -(-total // BUCKET) or 1)
-    alive = scratch.keep(sets.join(rep, "sig").where("4 * (rep + slack) >= 3 * n").select("sig", "n", "id", "copies", ((F.col("n") - F.col("rep")) / F.col("n")).alias("own")))
+    sets = rows.where("n > 0").groupBy("sig", "name", "n", "slack").agg(F.min("doc_id").alias("id"), F.count("doc_id").alias("copies")).where("id IS NOT NULL")
+    total, count = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    rep = repeated(docs, -(-total // BUCKET) or 1, -(-count // 100_000) or 1)
+    alive = scratch.keep(sets.join(rep, "name").where("4 * (rep + slack) >= 3 * n").select("sig", "n", "id", "copies", ((F.col("n") - F.col("rep")) / F.col("n")).alias("own")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -176,8 +182,17 @@ def alive_sets(scratch: Scratch, docs: DataFrame, rows: DataFrame) -> DataFrame:
                         seen.add(g), keep.append(i), body.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(keep, pa.int64())) for c in ("sig", "n", "id", "copies", "own")), pa.array(body, pa.binary())], ["sig", "n", "id", "copies", "own", "tokens"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(alive, "id")
-    found = texts.mapInArrow(fetch, "sig binary, n int, id long, copies long, own double, tokens binary").dropDuplicates(["sig"])
+    sent = docs.sparkSession.sparkContext.broadcast(bits_of(alive))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for b in batches:
+            at = mix(b.column("id").to_numpy().view(np.uint64)) % U64(FILTER)
+            yield b.filter(pa.array((bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1))
+
+    # most documents have no partner: their texts need no shuffle
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInArrow(sift, "id long, text string")
+    found = texts.join(alive.hint("shuffle_hash"), "id").mapInArrow(fetch, "sig binary, n int, id long, copies long, own double, tokens binary").dropDuplicates(["sig"])
     out = scratch.keep(found.withColumn("k", F.monotonically_increasing_id()))
     scratch.drop(alive)
     return out
@@ -199,7 +214,7 @@ def dealt_tokens(sets: DataFrame, columns: list[str], buckets: int, expand: Call
 
     spark = sets.sparkSession
     out = sets.mapInArrow(deal, ", ".join(["bucket long", "token binary", *(f"{c} binary" for c in columns)]))
-    return out.repartition(partitions(spark, buckets, 2), "bucket").sortWithinPartitions("bucket")
+    return out.repartition(partitions(spark, buckets, 1), "bucket").sortWithinPartitions("bucket")
 
 
 def blobs(group: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray]:
@@ -257,11 +272,18 @@ def ordered(alive: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(order, "k long, tokens binary, heads array<long>")
 
 
-def differences(scratch: Scratch, alive: DataFrame, pairs: DataFrame, percent: int, per: int = 500) -> DataFrame:
-    """(a, b, na, d, x): for the pairs (a, b) whose overlap is at least ``percent`` of the union, the places in a that b lacks and the tokens that b adds.
+def difference(own: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in ``own`` that t lacks, and the tokens that t adds."""
+    at = np.searchsorted(own, t)
+    at[at == len(own)] = 0
+    there = own[at] == t
+    lacks = np.ones(len(own), bool)
+    lacks[at[there]] = False
+    return np.flatnonzero(lacks), t[~there]
 
-    The sets b of a leader a are dealt over several tasks, each with the leader's own set first.
-    """
+
+def overlapping(scratch: Scratch, alive: DataFrame, pairs: DataFrame, percent: int, per: int = 500) -> DataFrame:
+    """Those pairs (a, b) whose overlap is at least ``percent`` of the union. The sets b of one a are dealt over several tasks, each with the set a first."""
     pairs = scratch.keep(pairs)
     size = pairs.groupBy("a").agg(F.expr(f"(count(1) + {per - 1}) div {per}").alias("of"))
     salted = scratch.keep(pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("of")).alias("salt")))
@@ -275,40 +297,34 @@ def differences(scratch: Scratch, alive: DataFrame, pairs: DataFrame, percent: i
                 if own is None:
                     own = np.frombuffer(part.column("tokens")[0].as_buffer(), np.uint64).copy()
                     part = part.slice(1)
-                for p in slices(part, "tokens", 8 << 20):
-                    b, d, x = [], [], []
-                    for i, blob in zip(p.column("b").to_pylist(), p.column("tokens")):
-                        t = np.frombuffer(blob.as_buffer(), np.uint64)
-                        at = np.searchsorted(own, t)
-                        at[at == len(own)] = 0
-                        there = own[at] == t
-                        both = int(there.sum())
-                        if 100 * both >= percent * (len(own) + len(t) - both) and both:
-                            lacks = np.ones(len(own), bool)
-                            lacks[at[there]] = False
-                            b.append(i), d.append(np.flatnonzero(lacks).astype(np.int32).tobytes()), x.append(t[~there].tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([a] * len(b), pa.int64()), pa.array(b, pa.int64()), pa.array([len(own)] * len(b), pa.int32()), pa.array(d, pa.binary()), pa.array(x, pa.binary())], ["a", "b", "na", "d", "x"])
+                found = []
+                for i, blob in zip(part.column("b").to_pylist(), part.column("tokens")):
+                    t = np.frombuffer(blob.as_buffer(), np.uint64)
+                    at = np.searchsorted(own, t)
+                    at[at == len(own)] = 0
+                    both = int((own[at] == t).sum())
+                    if both and 100 * both >= percent * (len(own) + len(t) - both):
+                        found.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array([a] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
 
     n = salted.count()
     dealt = sent.repartition(partitions(scratch.spark, n, 4 * per), "a", "salt").sortWithinPartitions("a", "salt", "role")
-    return dealt.select("a", "salt", "b", "tokens").mapInArrow(compare, "a long, b long, na int, d binary, x binary")
+    return dealt.select("a", "salt", "b", "tokens").mapInArrow(compare, "a long, b long")
 
 
-def leaders(scratch: Scratch, alive: DataFrame, order: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(k, leader) for every set, and the differences of followers from their leaders.
+def leaders(scratch: Scratch, alive: DataFrame, order: DataFrame) -> DataFrame:
+    """(k, n, leader) for every set.
 
     Of a head's list the set with the smallest share of own tokens is the candidate. A set follows the best candidate that follows nobody.
     """
     heads = scratch.keep(order.select("k", F.explode("heads").alias("token")).join(alive.select("k", F.struct("own", "k").alias("rank")), "k"))
     first = heads.groupBy("token").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1")
     pairs = heads.join(first, "token").where("best.k <> k").select(F.col("best.k").alias("a"), F.col("k").alias("b")).distinct()
-    near = scratch.keep(differences(scratch, alive, pairs, FOLLOW))
+    near = scratch.keep(overlapping(scratch, alive, pairs, FOLLOW))
     ranked = near.select("a", "b").join(alive.select(F.col("k").alias("a"), F.struct("own", F.col("k").alias("a")).alias("rank")), "a")
     roots = ranked.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
     follows = scratch.keep(roots.groupBy("b").agg(F.min("rank").alias("best")).select(F.col("b").alias("k"), F.col("best.a").alias("leader")))
-    all_sets = scratch.keep(alive.select("k", "n").join(follows, "k", "left").select("k", "n", F.coalesce("leader", "k").alias("leader")))
-    own = near.join(follows.select(F.col("k").alias("b"), F.col("leader").alias("a")), ["a", "b"])
-    return all_sets, own
+    return scratch.keep(alive.select("k", "n").join(follows, "k", "left").select("k", "n", F.coalesce("leader", "k").alias("leader")))
 
 
 def crossing(order: DataFrame, led: DataFrame, buckets: int) -> DataFrame:
@@ -372,26 +388,24 @@ def crossing(order: DataFrame, led: DataFrame, buckets: int) -> DataFrame:
 class Block:
     """Some followers of one leader, as differences from it; ``against`` derives their links with other sets of the leader's answers."""
 
-    def __init__(self, rows: list[pa.RecordBatch], na: int):
-        t = pa.Table.from_batches(rows)
-        self.na, self.k = na, t.column("b").to_numpy()
-        d, x = self.parts(t)
-        self.w = 4 * np.array([len(v) for v in d]) + 3 * np.array([len(v) for v in x])
-        self.added = np.unique(np.concatenate(x))
-        self.cols = np.unique(np.concatenate([self.ids(a, b) for a, b in zip(d, x)]))
-        self.at = [np.searchsorted(self.cols, self.ids(a, b)) for a, b in zip(d, x)]
-        self.links = np.zeros(len(self.k), np.int64)
-        self.label = np.arange(len(self.k))
+    def __init__(self, k: np.ndarray, diffs: list[tuple[np.ndarray, np.ndarray]], na: int):
+        self.na, self.k, self.w = na, k, self.weights(diffs)
+        self.added = np.unique(np.concatenate([x for _, x in diffs]))
+        each = [self.ids(d, x) for d, x in diffs]
+        self.cols = np.unique(np.concatenate(each))
+        self.at = [np.searchsorted(self.cols, ids) for ids in each]
+        self.links = np.zeros(len(k), np.int64)
+        self.label = np.arange(len(k))
 
     @staticmethod
-    def parts(t) -> tuple[list, list]:
-        return [np.frombuffer(v.as_buffer(), np.int32) for v in t.column("d")], [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("x")]
+    def weights(diffs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return np.array([4 * len(d) + 3 * len(x) for d, x in diffs])
 
     def ids(self, d: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Places that are lacking, then tokens that are added (those of the followers only), as numbers."""
         at = np.searchsorted(self.added, x)
         at[at == len(self.added)] = 0
-        return np.concatenate([d.astype(np.int64), self.na + at[self.added[at] == x]]) if len(x) and len(self.added) else d.astype(np.int64)
+        return np.concatenate([d, self.na + at[self.added[at] == x]]) if len(x) and len(self.added) else d
 
     def common(self, rows: np.ndarray, theirs: list[np.ndarray]) -> np.ndarray:
         """What followers and others have in common, by blocks of columns."""
@@ -405,17 +419,15 @@ class Block:
             out += f @ g.T
         return out
 
-    def against(self, t: pa.RecordBatch, edges: list[tuple[int, int]]) -> None:
-        d, x = self.parts(t)
-        k, copies = t.column("b").to_numpy(), t.column("copies").to_numpy()
-        w = 4 * np.array([len(v) for v in d]) + 3 * np.array([len(v) for v in x])
+    def against(self, k: np.ndarray, copies: np.ndarray, diffs: list[tuple[np.ndarray, np.ndarray]], edges: set[tuple[int, int]]) -> None:
+        w = self.weights(diffs)
         need = self.w[:, None] + w[None, :] - self.na
         link = need <= 0
         rows, cols = np.flatnonzero(~link.all(1)), np.flatnonzero(~link.all(0))
         if len(rows):
             theirs = []
             for j in cols.tolist():
-                ids = self.ids(d[j], x[j])
+                ids = self.ids(*diffs[j])
                 at = np.searchsorted(self.cols, ids)
                 at[at == len(self.cols)] = 0
                 theirs.append(at[self.cols[at] == ids] if len(self.cols) else at[:0])
@@ -428,49 +440,65 @@ class Block:
             if (new == self.label).all():
                 break
             moved = np.flatnonzero(new != self.label)
-            edges += {(int(self.k[i]), int(self.k[j])) for i, j in zip(self.label[moved].tolist(), new[moved].tolist())}
+            edges |= {(int(self.k[i]), int(self.k[j])) for i, j in zip(self.label[moved].tolist(), new[moved].tolist())}
             self.label = new
-        edges += [(int(self.k[r]), int(v)) for r, v in zip(low[low < len(self.k)].tolist(), k[low < len(self.k)].tolist()) if self.k[r] != v]
+        edges |= {(int(self.k[r]), int(v)) for r, v in zip(low.tolist(), k.tolist()) if r < len(self.k) and self.k[r] != v}
 
 
 def derived(scratch: Scratch, answers: DataFrame, led: DataFrame, alive: DataFrame) -> DataFrame:
-    """(a, b, links): for each set a the number of documents that it or its copies link with (b null), and edges (a, b) that connect what is linked."""
+    """(a, b, links): for each set a with answers the number of documents that it or its copies link with (b null), and edges (a, b) that connect what is linked.
+
+    ``answers``: (a, b), a leader and the sets that it or its followers may link with, itself included.
+    """
     blocks = led.groupBy("leader").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("of"))
     facts = led.join(alive.select("k", "copies"), "k").select(F.col("k").alias("b"), "leader", "copies")
     sized = answers.join(facts, "b").join(blocks.select(F.col("leader").alias("a"), "of"), "a")
-    rows = sized.select("a", "b", "na", "d", "x", "copies", F.when(F.col("leader") == F.col("a"), F.pmod(F.xxhash64("b"), F.col("of"))).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("block"))
-    rows = rows.withColumn("role", F.when(F.col("own") == F.col("block"), 0).otherwise(1)).drop("own")
+    rows = sized.select("a", "b", "copies", F.when(F.col("leader") == F.col("a"), F.pmod(F.xxhash64("b"), F.col("of"))).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)).alias("block"))
+    rows = rows.withColumn("role", F.when(F.col("own") == F.col("block"), 1).otherwise(2)).drop("own")
+    # the leader's set comes first, to take differences from
+    first = rows.select("a", F.col("a").alias("b"), F.lit(0).cast("long").alias("copies"), "block", F.lit(0).alias("role")).distinct()
+    rows = scratch.keep(rows.unionByName(first))
 
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_group(batches, ["a", "block"]):
-            own: list[pa.RecordBatch] = []
+            base: np.ndarray | None = None
+            own: list[tuple] = []
             block: Block | None = None
-            edges: list[tuple[int, int]] = []
-            for part in group:
-                mine = int((part.column("role").to_numpy() == 0).sum())
-                if mine:
-                    own.append(part.slice(0, mine))
-                if mine == part.num_rows or not own:
-                    continue
+            edges: set[tuple[int, int]] = set()
+
+            def meet(k: np.ndarray, copies: np.ndarray, diffs: list) -> None:
+                for lo in range(0, len(k), BLOCK):
+                    block.against(k[lo : lo + BLOCK], copies[lo : lo + BLOCK], diffs[lo : lo + BLOCK], edges)
+
+            def begin() -> None:
+                nonlocal block
+                k, copies, diffs = np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own]), [d for o in own for d in o[2]]
+                block = Block(k, diffs, len(base))
+                meet(k, copies, diffs)
+
+            for whole in group:
+                if base is None:
+                    base = np.frombuffer(whole.column("tokens")[0].as_buffer(), np.uint64).copy()
+                    whole = whole.slice(1)
+                for part in slices(whole, "tokens", 8 << 20):
+                    k, copies, role = (part.column(c).to_numpy() for c in ("b", "copies", "role"))
+                    diffs = [difference(base, np.frombuffer(x.as_buffer(), np.uint64)) for x in part.column("tokens")]
+                    mine = int((role == 1).sum())
+                    if mine:
+                        own.append((k[:mine], copies[:mine], diffs[:mine]))
+                    if mine < len(k) and own:
+                        if block is None:
+                            begin()
+                        meet(k[mine:], copies[mine:], diffs[mine:])
+            if own:
                 if block is None:
-                    block = Block(own, part.column("na")[0].as_py())
-                    for p in own:
-                        for lo in range(0, p.num_rows, BLOCK):
-                            block.against(p.slice(lo, BLOCK), edges)
-                for lo in range(mine, part.num_rows, BLOCK):
-                    block.against(part.slice(lo, BLOCK), edges)
-            if block is None and own:
-                block = Block(own, own[0].column("na")[0].as_py())
-                for p in own:
-                    for lo in range(0, p.num_rows, BLOCK):
-                        block.against(p.slice(lo, BLOCK), edges)
-            if block is not None:
+                    begin()
                 a = block.k.tolist() + [e[0] for e in edges]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([None] * len(block.k) + [e[1] for e in edges], pa.int64()), pa.array(block.links.tolist() + [None] * len(edges), pa.int64())], ["a", "b", "links"])
 
-    n = answers.count()
-    dealt = rows.repartition(partitions(scratch.spark, n, 2000), "a", "block").sortWithinPartitions("a", "block", "role")
-    return dealt.select("a", "block", "role", "b", "na", "d", "x", "copies").mapInArrow(derive, "a long, b long, links long")
+    sent = rows.join(alive.select(F.col("k").alias("b"), "tokens"), "b")
+    dealt = sent.repartition(partitions(scratch.spark, rows.count(), 2000), "a", "block").sortWithinPartitions("a", "block", "role")
+    return dealt.select("a", "block", "role", "b", "copies", "tokens").mapInArrow(derive, "a long, b long, links long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -482,12 +510,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alive = alive_sets(scratch, docs, rows)
     buckets = -(-(alive.agg(F.sum("n")).first()[0] or 0) // BUCKET) or 1
     order = scratch.keep(ordered(alive, buckets))
-    led, own = leaders(scratch, alive, order)
-    cross = scratch.keep(differences(scratch, alive, crossing(order, led, buckets), 0))
-    # the leader itself differs from itself in nothing
-    heads = own.select("a").union(cross.select("a")).distinct().join(alive.select(F.col("k").alias("a"), F.col("n").alias("na")), "a")
-    nothing = F.lit(b"").cast("binary")
-    answers = scratch.keep(own.unionByName(cross).unionByName(heads.select("a", F.col("a").alias("b"), "na", nothing.alias("d"), nothing.alias("x"))))
+    led = leaders(scratch, alive, order)
+    cross = scratch.keep(crossing(order, led, buckets))
+    # a leader's answers: its followers, what crosses, and itself if there is either
+    follows = led.where("leader <> k").select(F.col("leader").alias("a"), F.col("k").alias("b"))
+    pairs = follows.unionByName(cross)
+    answers = scratch.keep(pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct()))
     found = scratch.keep(derived(scratch, answers, led, alive))
     names = alive.select(F.col("k").alias("a"), "id")
     edges = found.where("b IS NOT NULL").join(names, "a").select("id", "b").join(names.select(F.col("a").alias("b"), F.col("id").alias("other")), "b").select(F.col("id").alias("a"), F.col("other").alias("b"))
