@@ -11,7 +11,8 @@ processed in blocks of at most ``block_items`` items and ``block_mb`` MB of text
 is bounded however large the benchmark is; the documents are never shuffled.
 
 Defined cases: null or empty texts have no tokens and are never contaminated; empty items match nothing; repeated items count under each item_id, null
-item_ids are ignored; an empty benchmark contaminates nothing; several hits of one item in one document count once, by its best segment.
+item_ids are ignored; an empty benchmark contaminates nothing; several hits of one item in one document count once, by its best segment; rows that repeat
+a doc_id are documents of their own; an empty table of documents gives no rows; an input column named hits goes. A task holds the hashes of one slice, or of the longest text.
 """
 
 from __future__ import annotations
@@ -94,16 +95,10 @@ class Seeds:
         diagonal = (p - first[r]) - (q - self.first[it])
         cand = np.unique(np.stack([r, it, diagonal], 1), axis=0)
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for r, it, d in cand.tolist():
-            a, b = self.first[it], self.first[it + 1]
-            x, y = first[r], first[r + 1]
-            lo, hi = max(0, -d), min(b - a, y - x - d)
-            if hi <= lo:
-                continue
+        for r, it, d, lo, hi in self.aligned(h, first, cand, min_match):
+            a, b, x = self.first[it], self.first[it + 1], first[r]
             eq = self.h[a + lo : a + hi] == h[x + d + lo : x + d + hi]
             need = min(min_match, -(-3 * int(b - a) // 4))
-            if eq.sum() < need:
-                continue
             for off in (1, 3):  # a mild and a strict cost of a substitution
                 s = np.concatenate([[0], np.cumsum(np.where(eq, 1, -off))])
                 gain = s - np.minimum.accumulate(s)
@@ -115,6 +110,26 @@ class Seeds:
         return [(*k, *v) for k, v in best.items()]
 
 
+    def aligned(self, h: np.ndarray, first: np.ndarray, cand: np.ndarray, min_match: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item, diagonal, from, to) of the candidates with enough equal tokens, counted for many at a time: a phrase that many items share costs no loop for each."""
+        r, it, d = cand.T
+        size = self.first[it + 1] - self.first[it]
+        lo, hi = np.maximum(0, -d), np.minimum(size, first[r + 1] - first[r] - d)
+        need = np.minimum(min_match, -(-3 * size // 4))
+        n = np.maximum(hi - lo, 0)
+        ends = np.cumsum(n)
+        i = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + (1 << 20), "right")))
+            k, part = np.repeat(np.arange(i, j), n[i:j]), n[i:j]
+            at = np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part) + lo[k]
+            same = self.h[self.first[it[k]] + at] == h[first[r[k]] + d[k] + at]
+            equal = np.bincount(k - i, same, j - i)
+            for c in (np.flatnonzero((n[i:j] > 0) & (equal >= need[i:j])) + i).tolist():
+                yield int(r[c]), int(it[c]), int(d[c]), int(lo[c]), int(hi[c])
+            i = j
+
+
 def blocks(bench: DataFrame, block_items: int, block_mb: int) -> Iterator[tuple[list[int], list[str]]]:
     """The items, read one by one in item_id order, in bounded blocks."""
     ids, texts, size = [], [], 0
@@ -134,14 +149,14 @@ def find_contamination(docs: DataFrame, bench: DataFrame, min_match: int = 12, m
     kind = "array<struct<item_id:bigint,n_equal:int,n_tokens:int,first_token:int,end_token:int>>"
     out = docs.select("*", F.lit(None).cast(kind).alias("hits"))
     for ids, texts in blocks(bench, block_items, block_mb):
-        sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        sent = docs.sparkSession.sparkContext.broadcast(Seeds(ids, texts))
         out = out.mapInArrow(_probe(sent, min_match, min_identity), out.schema)
     return out.withColumn("hits", F.coalesce("hits", F.array().cast(kind)))
 
 
 def _probe(sent, min_match: int, min_identity: float):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = Seeds(*sent.value)
+        seeds = sent.value
         for batch in batches:
             for b in slices(batch):
                 h, first = tokens(b.column("text"))
