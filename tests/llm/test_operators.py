@@ -301,3 +301,172 @@ def test_words_of_a_regular_build_do_not_collide(spark):
             ids += 1
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r.component_id == r.doc_id and r.n_links == 0 for r in got)
+
+
+def test_line_dedup_by_broadcast_and_by_shard_tasks(spark, monkeypatch):
+    from textbastion.llm import line_dedup
+
+    rng = np.random.default_rng(3)
+    pool = [f"  Line {i} is a long enough passage to be a KEY of its own {i * 7}" for i in range(300)]
+    rows = [(None, pool[0] + "\nx"), (None, None), (3, ""), (3, pool[1] + "\n" + pool[1])]
+    for d in range(4, 120):
+        rows.append((d, "\n".join([pool[0], *(pool[int(i)] + " " * int(i % 3) for i in rng.zipf(1.3, 12) % 300), f"tail {d}"])))
+    rows += rows[5:9]
+    docs = spark.createDataFrame([(*r, "mine", 7) for r in rows], "doc_id long, text string, n_lines string, __gone int")
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+    holders = defaultdict(list)
+    for i, (_, t) in enumerate(rows):
+        for k in {key(x) for x in (t or "").split("\n")}:
+            holders[k].append(-1 if rows[i][0] is None else rows[i][0])
+    want = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if not (len(k := key(x)) >= 40 and len(holders[k]) >= 5 and max(holders[k]) != (-1 if d is None else d))]
+        want.append((d, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    monkeypatch.setattr(line_dedup, "PER_SHARD", 7)
+    monkeypatch.setattr(line_dedup, "PER_SALT", 50)
+    order = lambda x: sorted(x, key=str)
+    for mb in (64, -1):
+        got = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(docs, broadcast_mb=mb).collect()]
+        assert order(got) == order(want)
+        assert line_dedup.dedup_lines(docs.limit(0), broadcast_mb=mb).collect() == []
+
+
+def test_perfect_hash_of_keys_that_share_half_their_hash():
+    from textbastion.llm.line_dedup import Shards, build_shard
+
+    rng = np.random.default_rng(1)
+    h, fp = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    h[:1000] = np.repeat(h[:200], 5)
+    fp[1000:2000] = fp[1000]
+    body = build_shard(h, fp, np.arange(5000), np.arange(5000))
+    held = Shards({0: body}, 1)
+    hit, last = held.probe(h, fp)
+    assert hit.all() and (last == np.arange(5000)).all() and (np.sort(held.ids) == np.arange(5000)).all()
+    assert not held.probe(h, rng.integers(0, 1 << 63, 5000).astype(np.uint64))[0].any()
+
+
+def test_language_of_a_text_does_not_depend_on_its_slice(docs):
+    import pyarrow as pa
+
+    from textbastion.llm import langid
+
+    texts = [t or "" for t in docs.text]
+    texts += [a[:300] + " " + b[:300] for a, b in zip(texts, texts[7:])]
+    batch = lambda t: pa.RecordBatch.from_arrays([pa.array(t)], ["text"])
+    langs = sorted({x for x in docs.lang if x})
+    counts = np.full((langid.BUCKETS, len(langs)), 0.5)
+    for t, lang in zip(docs.text, docs.lang):
+        if lang and t:
+            keys, n = langid.grams(batch([t]))
+            counts[keys % langid.BUCKETS, langs.index(lang)] += n
+    model = langid.Model(langs, (counts / counts.sum(0)).astype(np.float32))
+    together = model.infer(*langid.grams(batch(texts)), len(texts))
+    for i, t in enumerate(texts):
+        assert np.allclose(together[i], model.infer(*langid.grams(batch([t])), 1)[0], atol=1e-5)
+
+
+def test_embedding_dedup_in_groups_and_with_repeated_ids(spark):
+    from textbastion.llm.embedding_dedup import dedup_embeddings
+
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((3, 24))
+    vecs = [base[0] + 0.35 * rng.standard_normal(24) for _ in range(400)] + [base[1] + 0.1 * rng.standard_normal(24) for _ in range(150)] + [base[1]] * 30
+    vecs += [base[2] + 0.5 * rng.standard_normal(24) for _ in range(60)] + list(rng.standard_normal((500, 24)))
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
+    rows += [(5, rows[0][1]), (5, rows[450][1]), (7000, None), (7001, [0.0] * 24), (7002, [float("nan")] * 24), (7003, [1.0, None]), (7004, [1.0, 0.0]), (None, rows[3][1])]
+    good = [(i, np.array(v)) for i, v in rows if i is not None and i < 7000]
+    x = np.stack([v / np.linalg.norm(v) for _, v in good])
+    link = x @ x.T >= 0.9
+    got = dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    n = {}
+    for r in got:
+        n.setdefault(r.vec_id, []).append(r)
+    assert len(got) == len(rows) and all(n[i][0].n_links == 0 and n[i][0].component_id == i for i in (7000, 7001, 7002, 7003, 7004)) and n[None][0].component_id is None
+    want = link.sum(1) - 1
+    have = sum(r.n_links for r in got)
+    assert 0.97 * want.sum() <= have <= want.sum()
+    at = smallest(range(len(good)), [(int(a), int(b)) for a, b in np.argwhere(np.triu(link, 1))])
+    low = {}
+    for i, (v, _) in enumerate(good):
+        low[at[i]] = min(low.get(at[i], v), v)
+    right = sum(any(r.component_id == low[at[i]] for r in n[v]) for i, (v, _) in enumerate(good))
+    assert right >= 0.98 * len(good)
+    big = sorted(r.n_links for i in range(550, 580) for r in n[i])
+    assert big == sorted(want[550:580].tolist())
+    assert dedup_embeddings(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
+
+
+def test_embedding_components_at_a_larger_size(spark):
+    from textbastion.llm.embedding_dedup import op8_embedding_dedup
+
+    t = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    x = np.stack(t.embedding).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.9
+    ids = t.vec_id.tolist()
+    at = smallest(ids, [(ids[a], ids[b]) for a, b in np.argwhere(np.triu(link, 1))])
+    got = {r.vec_id: r for r in op8_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.98 * (link.sum() - len(ids))
+    assert all(got[i].n_links <= n for i, n in zip(ids, (link.sum(1) - 1).tolist()))
+    assert sum(got[i].component_id == at[i] for i in ids) >= 0.98 * len(ids)
+
+
+def test_toxicity_counts_document_frequencies_over_all_documents(spark):
+    import pyarrow as pa
+    from textbastion.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.select("text").collect()]
+    h, first = toxicity.terms(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))
+    own = [set(h[a:b].tolist()) for a, b in zip(first[:-1], first[1:])]
+    df, total = toxicity.frequencies(docs, index.vocabulary)
+    assert total == len(texts) and df.tolist() == [sum(int(t) in x for x in own) for t in index.vocabulary]
+
+
+def test_toxicity_finds_the_nearest_examples_exactly(spark):
+    """Block-max skipping against all cosines by dense vectors; equal scores for equal texts; the defined cases."""
+    import pyarrow as pa
+    from textbastion.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.select("text").limit(300).collect()] + [None, "", "unheardofword"]
+    first, term, w = index.vectorise(*toxicity.terms(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])))
+    v = len(index.vocabulary)
+    examples = np.zeros((len(index.toxic), v))
+    for b, (known, column, matrix, starts, example, weight) in enumerate(index.blocks):
+        for i, t in enumerate(known.tolist()):
+            if column[i] >= 0:
+                rows = b * 64 + np.flatnonzero(matrix[column[i]])
+                examples[rows, t] = matrix[column[i]][rows - b * 64]
+            else:
+                examples[b * 64 + example[starts[i] : starts[i + 1]].astype(int), t] = weight[starts[i] : starts[i + 1]]
+    sims, kth = index.nearest(first, term, w)
+    for i in range(len(texts)):
+        q = np.zeros(v)
+        q[term[first[i] : first[i + 1]]] = w[first[i] : first[i + 1]]
+        full = examples @ q
+        want = np.sort(full)[-index.k]
+        assert abs(kth[i] - max(want, 0)) < 1e-5
+        reach = full > want + 1e-5
+        assert np.allclose(sims[i][reach], full[reach], atol=1e-5)
+    rows = [(1, None, "x"), (2, "", "x"), (2, "", "y"), (None, texts[0], "z")]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, toxicity string"), index).collect()
+    assert len(got) == 4 and all(0 <= r.toxicity <= 1 for r in got) and got[0].toxicity == got[1].toxicity
+    empty = toxicity.fit(docs, labels.limit(0))
+    assert {r.toxicity for r in toxicity.score(docs.limit(5), empty).collect()} == {0.0}
+    assert toxicity.score(docs.limit(0), index).collect() == []
+
+
+def test_toxicity_is_calibrated(spark):
+    """On held-out rows, the share of toxic ones is near the mean score, overall and on either side of one half."""
+    from textbastion.llm.toxicity import op2_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL").collect()}
+    got = [(r.score, labels[r.doc_id]) for r in op2_toxicity(spark, sf).where("held_out").collect() if r.doc_id in labels]
+    s, y = np.array([g[0] for g in got]), np.array([g[1] for g in got])
+    for part in (s >= 0, s < 0.5, s >= 0.5):
+        assert abs(s[part].mean() - y[part].mean()) < 0.08, (s[part].mean(), y[part].mean(), part.sum())
