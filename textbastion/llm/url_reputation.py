@@ -1,18 +1,20 @@
 """URL filters: rules first, then the empirical-Bayes reputation of the host. DataFrame and SQL functions only.
 
 A page is labelled when ``labels`` has a row for its page_id with a non-null quality; the outcome is bad when quality is 0 or
-toxic is 1. Bad rates are shrunk down the chain all -> suffix (last label of the host) -> registered domain (last two labels;
-a host with one label or of digits and dots only is its own) -> host: at each level the prior is a beta distribution whose
+toxic is 1. Bad rates are shrunk down the chain all -> suffix (last label of the host; the last two where they are one of
+``SECOND`` and a country's two letters, like co.uk) -> registered domain (one label more;
+a host that is a suffix or of digits and dots only is its own) -> host: at each level the prior is a beta distribution whose
 mean is the posterior mean of the level above, and whose strength k is fitted by the method of moments over all groups of
 that level. A page is blocked when its host's posterior mean less ``z`` posterior standard deviations is above ``most``;
 a host without labelled pages falls back on its domain, suffix or all.
 
-Scale: statistics are sums per host first (map-side aggregation), then domain and suffix sums of the host sums. The
-join back to the pages salts the host by page_id, so a host with a third of all pages is spread over ``salts`` keys.
+Scale: statistics are sums per host first (map-side aggregation), then domain and suffix sums of the host sums. In the
+join back to the pages a host with more than ``per_salt`` pages is salted by page_id into keys of about that many; these hosts (at most
+one for ``per_salt`` pages) are all that is broadcast.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path (host '' is a group like any other, no rule fits);
 labels that repeat for a page count once each; null quality and toxic: no label; no labels at all: no page is blocked by
-reputation.
+reputation; rows that repeat a page_id are each judged by their own url; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+#: Second labels below which countries register names.
+SECOND = ["ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "or", "org"]
+_PUBLIC = "(" + "|".join(SECOND) + ")[.][a-z][a-z]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,11 +49,13 @@ def matched_rule(rules: list[tuple[str, str]]) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    return F.when(host.rlike(r"^[0-9.]+$"), host).otherwise(F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0))
+    named = F.when(host.rlike(f"(^|[.]){_PUBLIC}$"), F.regexp_extract(host, r"([^.]*[.])?[^.]*[.][^.]*$", 0)).otherwise(F.regexp_extract(host, r"([^.]*[.])?[^.]*$", 0))
+    return F.when(host.rlike(r"^[0-9.]+$"), host).otherwise(named)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.when(host.rlike(r"^[0-9.]+$"), host).otherwise(F.regexp_extract(host, r"[^.]*$", 0))
+    named = F.when(host.rlike(f"(^|[.]){_PUBLIC}$"), F.regexp_extract(host, r"[^.]*[.][^.]*$", 0)).otherwise(F.regexp_extract(host, r"[^.]*$", 0))
+    return F.when(host.rlike(r"^[0-9.]+$"), host).otherwise(named)
 
 
 def _strength(stats: DataFrame) -> Column:
@@ -86,7 +93,7 @@ def reputation(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tu
     return h.select("host", "a", "b"), d.select("domain", "a", "b"), s.select("suffix", "a", "b"), top
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules=tuple(RULES), z: float = 1.645, most: float = 0.5, salts: int = 32) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules=tuple(RULES), z: float = 1.645, most: float = 0.5, per_salt: int = 1_000_000) -> DataFrame:
     """page_id, url, host, path, rule, verdict and the host's posterior mean and lower bound of the bad rate."""
     scratch = Scratch(pages.sparkSession)
     p = pages.select("page_id", F.col("url").alias("__url"))
@@ -97,15 +104,16 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=tuple(RULES), z: floa
     labelled = p.select("page_id", "host").join(outcomes, "page_id").select("host", "bad")
     h, d, s, top = reputation(labelled)
     # the distinct hosts of the pages, with the parameters of the deepest level that has labelled pages
-    hosts = p.groupBy("host").agg(F.count(F.lit(1)).alias("__pages")).select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
-    known = hosts.join(h, "host", "left").select("host", "domain", "suffix", F.col("a").alias("ha"), F.col("b").alias("hb")) \
-        .join(d, "domain", "left").select("host", "suffix", "ha", "hb", F.col("a").alias("da"), F.col("b").alias("db")) \
-        .join(s, "suffix", "left").select("host", F.coalesce("ha", "da", "a", F.lit(top[0])).alias("a"), F.coalesce("hb", "db", "b", F.lit(top[1])).alias("b"))
+    hosts = p.groupBy("host").agg(F.expr(f"(count(1) + {per_salt - 1}) div {per_salt}").cast("int").alias("salts")).select("host", "salts", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    known = hosts.join(h, "host", "left").select("host", "salts", "domain", "suffix", F.col("a").alias("ha"), F.col("b").alias("hb")) \
+        .join(d, "domain", "left").select("host", "salts", "suffix", "ha", "hb", F.col("a").alias("da"), F.col("b").alias("db")) \
+        .join(s, "suffix", "left").select("host", "salts", F.coalesce("ha", "da", "a", F.lit(top[0])).alias("a"), F.coalesce("hb", "db", "b", F.lit(top[1])).alias("b"))
     t = F.col("a") + F.col("b")
     mean = F.col("a") / t
-    known = scratch.keep(known.select("host", mean.alias("bad_mean"), (mean - z * F.sqrt(F.col("a") * F.col("b") / (t * t * (t + 1)))).alias("bad_low")))
-    salted = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    out = p.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(salts))).join(salted, ["host", "salt"], "left")
+    known = scratch.keep(known.select("host", "salts", mean.alias("bad_mean"), (mean - z * F.sqrt(F.col("a") * F.col("b") / (t * t * (t + 1)))).alias("bad_low")))
+    salted = known.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).drop("salts")
+    hot = known.where("salts > 1").select("host", "salts")  # at most one host for per_salt pages
+    out = p.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.hash("page_id"), F.coalesce("salts", F.lit(1)))).join(salted, ["host", "salt"], "left")
     rule = F.col("__rule")
     return out.withColumn("__rule", matched_rule(list(rules))).select(
         "page_id", "url", "host", "path", rule.rule.alias("rule"),
@@ -128,8 +136,8 @@ WITH p AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) END AS rest FROM pages)),
-keyed AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host ELSE regexp_extract(host, '([^.]*\\.)?[^.]*$', 0) END AS domain,
-         CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host ELSE regexp_extract(host, '[^.]*$', 0) END AS suffix FROM p),
+keyed AS (SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host WHEN regexp_matches(host, '(^|[.]){_PUBLIC}$') THEN regexp_extract(host, '([^.]*[.])?[^.]*[.][^.]*$', 0) ELSE regexp_extract(host, '([^.]*[.])?[^.]*$', 0) END AS domain,
+         CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host WHEN regexp_matches(host, '(^|[.]){_PUBLIC}$') THEN regexp_extract(host, '[^.]*[.][^.]*$', 0) ELSE regexp_extract(host, '[^.]*$', 0) END AS suffix FROM p),
 lab AS (SELECT keyed.*, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM keyed JOIN labels ON page_id = labels.doc_id
         WHERE quality IS NOT NULL OR toxic IS NOT NULL),
 h0 AS (SELECT host, domain, suffix, sum(bad)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM lab GROUP BY ALL),
