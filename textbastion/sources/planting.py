@@ -46,12 +46,18 @@ PLANTED_SQL = f"SELECT doc_id, lang, source, coalesce(text, '') || {_case('doc_i
 PAYLOADS_SQL = f"SELECT doc_id, coalesce({_case('doc_id', [*PAYLOADS, '<own>'])}, '') AS c, CASE WHEN doc_id % {len(PAYLOADS) + 1} = {len(PAYLOADS)} THEN substring(coalesce(text, ''), 1, 60) ELSE {_case('doc_id', [*PAYLOADS, '<own>'])} END AS payload FROM documents"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer file splits than there are cores, dealt over all of them; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _pick(values: list[str], key: str):
     return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
     return d.withColumn("text", F.concat(F.coalesce("text", F.lit("")), _pick(TEXT_CASES, "doc_id")))
 
 
@@ -60,7 +66,7 @@ CONVERSATIONS_SQL = f"SELECT conv_id, turn, role, coalesce(text, '') || {_case('
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with a case behind each text."""
-    d = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("__case", F.expr(f"int((conv_id * 7 + turn) % {len(TEXT_CASES)} + 1)"))
+    d = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).withColumn("__case", F.expr(f"int((conv_id * 7 + turn) % {len(TEXT_CASES)} + 1)"))
     return d.select("conv_id", "turn", "role", F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, TEXT_CASES)), F.col("__case"))).alias("text"))
 
 
