@@ -48,6 +48,21 @@ def test_suffix_dedup(spark):
     assert dedup_substrings(frame(spark).limit(0)).collect() == []
 
 
+def test_shuffles_go_once_their_result_is_written(spark):
+    from textbastion.llm.common import CLEANUP, Scratch
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    dealt = spark.range(1000).repartition(4, "id")
+    kept = Scratch(spark).keep(dealt)
+    assert files() <= before and spark.conf.get(CLEANUP, None) == setting
+    # what is written is whole, and the plan behind it can run again
+    assert sorted(r.id for r in kept.collect()) == sorted(r.id for r in dealt.collect()) == list(range(1000))
+
+
 def test_suffix_dedup_with_hot_cores(spark, monkeypatch):
     """A passage that all documents share and go on from in their own ways, with its cores dealt over several shards."""
     from textbastion.llm import substring_dedup as D

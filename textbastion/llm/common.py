@@ -5,7 +5,7 @@ Conventions that hold for every operator of this subpackage:
 * inputs are read by column name and only the named columns are used, so extra columns never clash;
 * a null text counts as the empty text unless the operator says otherwise;
 * intermediate results are written as Parquet into the folder named by ``spark.checkpoint.dir`` (shared by
-  driver and executors), which cuts lineage and survives the loss of executors.
+  driver and executors), which cuts lineage and survives the loss of executors; the shuffles behind them go at once.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Spark's setting that removes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,13 @@ class Scratch:
     def write(self, df: DataFrame) -> str:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
+        # else they stay until the driver happens to collect its garbage
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         return path
 
     def keep(self, df: DataFrame) -> DataFrame:

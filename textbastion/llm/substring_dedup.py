@@ -255,7 +255,6 @@ def repeated_windows(scratch: Scratch, docs: DataFrame, groups: int, size: int,
         second = mix((total[a + length] - total[a]) * down[a])
         yield _blobs((h % U64(many)).astype(np.int64), {"rid": b.column("r").to_numpy()[doc], "doc": _docs(b)[doc], "lo": s.astype(np.int32), "h": h, "second": (second >> U64(32)).astype(np.uint32), "flag": np.repeat(notes["flag"][k], n)}, {}, "bucket")
 
-    spark._jvm.System.gc()  # lets the cleaner remove the shuffle that is no longer read
     asked = first.where(F.col("kind") == ASKED)
     many = max(1, int((asked.agg(F.sum(F.octet_length("lo") / 4)).first()[0] or 0) * 25 // 200_000))
     wkinds = {"rid": np.int64, "doc": np.int32, "lo": np.int32, "h": np.uint64, "second": np.uint32, "flag": np.int8}
