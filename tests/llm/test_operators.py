@@ -470,3 +470,32 @@ def test_toxicity_is_calibrated(spark):
     s, y = np.array([g[0] for g in got]), np.array([g[1] for g in got])
     for part in (s >= 0, s < 0.5, s >= 0.5):
         assert abs(s[part].mean() - y[part].mean()) < 0.08, (s[part].mean(), y[part].mean(), part.sum())
+
+
+def test_toxicity_index_is_built_and_kept_off_the_driver(spark):
+    """The stage's fit takes little on the driver beside the open index, which is several times smaller than what it is built from, and builds the same index as the driver does from the same rows."""
+    import tracemalloc
+
+    import corpus_pipeline as P
+    from textbastion.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs, labels)
+    size = index.maxima.nbytes + sum(x.nbytes for b in index.blocks for x in b)
+    tracemalloc.start()
+    stage = P.drop_toxic(spark, docs, sf)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * size, (most, size)
+    assert 0 < stage.limit(500).count() <= 500
+    rows, share = toxicity.sample(docs, labels, 4096, 32 << 20)
+    rows = sorted(rows.collect(), key=lambda r: (r.doc_id, r.h))
+    own = [np.frombuffer(r.h, np.uint64) for r in rows]
+    voc = np.unique(np.concatenate(own))
+    want = toxicity.learn([r.doc_id for r in rows], np.array([r.toxic > 0 for r in rows]), own, [np.frombuffer(r.n, np.int32) for r in rows], voc, *toxicity.frequencies(docs, voc), share, index.k)
+    for name in ("vocabulary", "weight", "maxima", "toxic", "stands", "ids"):
+        assert np.array_equal(getattr(index, name), getattr(want, name)), name
+    assert all(np.array_equal(x, y) for a, b in zip(index.blocks, want.blocks, strict=True) for x, y in zip(a, b, strict=True))
+    # votes are sums of single-precision products, whose order is that of the machine's threads
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(index.curve, want.curve))

@@ -11,8 +11,8 @@ block's maxima) comes first, and others are skipped where their bound can't reac
 Votes are weighted by cosine ** 2 and by how many rows an example of its class stands for. A monotone curve, fitted to the votes
 that the examples get from each other (each left out of its own), turns the share of toxic votes into a calibrated probability. Evidence: the nearest examples.
 
-The index is bounded by the sample (about 10 bytes a term and example, 64 bytes a term) and is broadcast; every document is scored in one pass, without
-a shuffle of texts. Words are runs of letters, digits and non-ASCII bytes with A-Z lower-cased, over the whole text.
+The index is bounded by the sample (about 10 bytes a term and example, 64 bytes a term). A single task builds it from the examples' terms, and the driver passes it on packed (``fit_packed``): it never
+holds the examples nor the open index, only the vocabulary. It is broadcast; every document is scored in one pass, without a shuffle of texts. Words are runs of letters, digits and non-ASCII bytes with A-Z lower-cased, over the whole text.
 
 Defined cases: null or empty text, or no known word: the curve's value at the prior; repeated labels of a document: toxic if any says so; null labels are
 not learnt from; of rows that repeat a doc_id the smallest text is learnt from; without labelled rows every score is 0; documents equal in text get equal scores; ties at the k-th place all vote;
@@ -21,6 +21,8 @@ an input column that is named like one of the output goes; an empty table gives
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_WORD, buffers, slices, table, words
+from .common import LOWER, NOT_WORD, Scratch, buffers, slices, table, words
 
 BLOCK = 64
 #: Relevance of a term that tells nothing about the label, the z from which it is 1, and the weight of the prior in a vote.
@@ -37,6 +39,8 @@ BASE, SURE, PRIOR = 0.02, 4.0, 0.25
 PARTS = 64
 #: Postings of a term in a block from which its list is kept as a row of a matrix.
 FULL = 4
+#: Bytes of a row that carries a piece of a packed index or vocabulary.
+PIECE = 4 << 20
 
 
 def terms(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -167,6 +171,35 @@ class Index:
         return np.interp(share, *self.curve), near
 
 
+class Packed:
+    """A pickled and compressed index, opened once in each process that scores."""
+
+    def __init__(self, body: bytes):
+        self.body, self.index = body, None
+
+    @classmethod
+    def of(cls, index: Index) -> Packed:
+        return cls(zlib.compress(pickle.dumps(index, 5), 1))
+
+    def open(self) -> Index:
+        if self.index is None:
+            self.index = pickle.loads(zlib.decompress(self.body))
+            self.body = b""
+        return self.index
+
+
+def pieces(body: bytes, n: int) -> Iterator[pa.RecordBatch]:
+    """``body`` in rows (at, body, n)."""
+    for at, i in enumerate(range(0, max(len(body), 1), PIECE)):
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([body[i : i + PIECE]], pa.binary()), pa.array([n], pa.int32())], ["at", "body", "n"])
+
+
+def joined(df: DataFrame) -> tuple[bytes, int]:
+    """What one task gave out in ``pieces``."""
+    rows = sorted(df.collect(), key=lambda r: r.at)
+    return b"".join(r.body for r in rows), rows[0].n if rows else 0
+
+
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """A rising curve through the weighted means of y over pools of at least ``least`` places of x (pool adjacent violators)."""
     order = np.argsort(x, kind="stable")
@@ -181,12 +214,12 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray, least: int = 20) -> tu
     return np.array([0.0, *(p[0] / p[2] for p in pools), 1.0]), np.array([0.0, *(p[1] / p[2] for p in pools), 1.0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_examples: int, max_bytes: int) -> tuple[list, float]:
-    """Rows (doc_id, toxic, terms, counts) of the sampled examples, and the share of toxic rows among all labelled ones."""
+def sample(docs: DataFrame, labels: DataFrame, max_examples: int, max_bytes: int) -> tuple[DataFrame | None, float]:
+    """Rows (doc_id, toxic, terms, counts) of the sampled examples, and the share of toxic rows among all labelled ones; no rows where none is labelled."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
     if share is None:
-        return [], 0.0
+        return None, 0.0
     half = max_examples // 2
     of = lambda t: known.where((F.col("toxic") > 0) == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)
     chosen = of(True).unionByName(of(False))
@@ -201,7 +234,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_examples: int, max_bytes: int
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # max_examples rows at most
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.octet_length("text"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     texts = texts.withColumn("size", size).where(F.col("size") <= max_bytes)
-    return texts.mapInArrow(vectors, "doc_id long, toxic int, h binary, n binary").collect(), share
+    return texts.mapInArrow(vectors, "doc_id long, toxic int, h binary, n binary"), share
 
 
 def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
@@ -241,13 +274,40 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, in
     return out[:size], int(out[size])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_bytes: int = 32 << 20, k: int = 15) -> Index:
+def fit_packed(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_bytes: int = 32 << 20, k: int = 15) -> Packed:
+    nothing = np.zeros(0, np.uint64)
     rows, share = sample(docs, labels, max_examples, max_bytes)
-    rows.sort(key=lambda r: (r.doc_id, r.h))
-    own = [np.frombuffer(r.h, np.uint64) for r in rows]
-    voc = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
-    df, total = frequencies(docs, voc) if own else (np.zeros(0, np.int64), 0)
-    return learn([r.doc_id for r in rows], np.array([r.toxic > 0 for r in rows], bool), own, [np.frombuffer(r.n, np.int32) for r in rows], voc, df, total, share, k)
+    if rows is None:
+        return Packed.of(learn([], np.zeros(0, bool), [], [], nothing, nothing.astype(np.int64), 0, share, k))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(rows)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.frombuffer(x, np.uint64) for b in batches for x in b.column("h").to_pylist()]
+        yield from pieces(np.unique(np.concatenate(own)).tobytes() if own else b"", len(own))
+
+    # both tasks read max_examples rows at most
+    body, examples = joined(rows.coalesce(1).mapInArrow(gather, "at int, body binary, n int"))
+    voc = np.frombuffer(body, np.uint64)
+    if not examples:
+        return Packed.of(learn([], np.zeros(0, bool), [], [], nothing, nothing.astype(np.int64), 0, share, k))
+    sent = docs.sparkSession.sparkContext.broadcast((voc, *frequencies(docs, voc)))
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "toxic", "n")))), key=lambda r: r[:2])
+        if held:
+            ids, own, toxic, times = zip(*held)
+            index = learn(list(ids), np.array(toxic) > 0, [np.frombuffer(x, np.uint64) for x in own], [np.frombuffer(x, np.int32) for x in times], *sent.value, share, k)
+            yield from pieces(Packed.of(index).body, len(ids))
+
+    out = Packed(joined(rows.coalesce(1).mapInArrow(teach, "at int, body binary, n int"))[0])
+    scratch.drop(rows)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_bytes: int = 32 << 20, k: int = 15) -> Index:
+    """The open index, on the driver."""
+    return fit_packed(docs, labels, max_examples, max_bytes, k).open()
 
 
 def learn(ids: list[int], y: np.ndarray, own: list[np.ndarray], times: list[np.ndarray], voc: np.ndarray, df: np.ndarray, total: int, share: float, k: int) -> Index:
@@ -283,14 +343,14 @@ def learn(ids: list[int], y: np.ndarray, own: list[np.ndarray], times: list[np.n
     return index
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
+def score(docs: DataFrame, index: Index | Packed) -> DataFrame:
     """All columns of ``docs`` plus (or with, where they are there) toxicity (double) and evidence (doc_ids of the nearest examples)."""
     docs = docs.drop("toxicity", "evidence")
     names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent = docs.sparkSession.sparkContext.broadcast(index if isinstance(index, Packed) else Packed.of(index))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = sent.value
+        ix = sent.value.open()
         for batch in batches:
             for b in slices(batch):
                 for i in range(0, b.num_rows, 512):
@@ -309,6 +369,6 @@ def fold(column: str, of: int):
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    index = fit_packed(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     out = score(docs, index)
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "evidence")
