@@ -251,3 +251,22 @@ def test_shards_prune_on_every_dimension(spark, tmp_path):
     curve, flat = skipped(tmp_path / "curve"), skipped(tmp_path / "flat")
     assert min(curve.values()) > 0.2 and np.mean([curve[c] for c in dims if c != "doc_id"]) > np.mean([flat[c] for c in dims if c != "doc_id"]) + 0.2, (curve, flat)
     assert spark.read.parquet(str(tmp_path / "curve")).count() == docs.count()
+
+
+def test_cuts_of_strings_count_every_row(spark):
+    """Of a column with more values than the driver takes, the stretches are of like size over all rows, however few values hold them."""
+    from textbastion.llm.sharding import string_cuts
+
+    rng = np.random.default_rng(4)
+    values = [f"{v:04x}é" for v in (rng.zipf(1.3, 6000) % 4096).tolist()] + [f"z{i}" for i in range(2000)] + [None] * 50
+    df = spark.createDataFrame([(v,) for v in rng.permutation(np.array(values, object)).tolist()], "s string")
+    given = sorted((v for v in values if v is not None), key=str.encode)
+    seen, want = 0, []
+    for v in sorted(set(given), key=str.encode):
+        n = given.count(v)
+        if (seen + n) * 8 // len(given) > seen * 8 // len(given) and seen + n < len(given):
+            want.append(v)
+        seen += n
+    assert len(set(given)) > 64 and string_cuts(df, "s", 8, 64) == want
+    few = df.where("s < '0004'")
+    assert string_cuts(few, "s", 8, 64) == sorted({v for v in given if v < "0004"}, key=str.encode)[:-1]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, partitions, table
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -55,15 +55,15 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def string_cuts(df: DataFrame, column: str, cells: int, most: int = 4096) -> list[str]:
-    """Values that cut a string column into at most ``cells`` stretches of like size, in the order of the values.
+    """Values that cut a string column into at most ``cells`` stretches of like size, in the order of the values; every row counts.
 
-    Up to ``most`` distinct values are counted each; of more, the ``most`` with the least hash are, which only makes the stretches less even.
+    Up to ``most`` distinct values are cut on the driver; of more, only the values that end a stretch get there.
     """
     given = df.where(F.col(column).isNotNull())
     counted = given.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
     rows = counted.limit(most + 1).collect()
     if len(rows) > most:
-        rows = counted.orderBy(F.xxhash64(column), column).limit(most).collect()
+        return ranked_cuts(counted, column, cells)
     rows.sort(key=lambda r: r[0].encode())
     total, seen, cuts = sum(r[1] for r in rows), 0, []
     for r in rows[:-1]:
@@ -73,6 +73,23 @@ def string_cuts(df: DataFrame, column: str, cells: int, most: int = 4096) -> lis
     return cuts
 
 
+def ranked_cuts(counted: DataFrame, column: str, cells: int) -> list[str]:
+    """The values of ``counted`` (value, __n) at which the running count reaches a further ``cells``-th of all rows, but the greatest."""
+    spark = counted.sparkSession
+    scratch = Scratch(spark)
+    values = scratch.keep(counted)
+    n = partitions(spark, values.count(), 50_000)
+    kept = scratch.keep(values.repartitionByRange(n, column).withColumn("__part", F.spark_partition_id()))
+    # one row a partition
+    sums = kept.groupBy("__part").agg(F.sum("__n").alias("__all"))
+    before = sums.select("__part", (F.sum("__all").over(Window.orderBy("__part")) - F.col("__all")).alias("__before"))
+    total = sums.agg(F.sum("__all")).first()[0]
+    running = kept.withColumn("__seen", F.sum("__n").over(Window.partitionBy("__part").orderBy(column))).join(F.broadcast(before), "__part").withColumn("__seen", F.col("__seen") + F.col("__before"))
+    ends = running.where(f"__seen < {total} AND (__seen * {cells}) div {total} > ((__seen - __n) * {cells}) div {total}").select(column).collect()
+    scratch.drop(values, kept)
+    return sorted((r[0] for r in ends), key=str.encode)
+
+
 def quantised(df: DataFrame, column: str, bits: int) -> Column:
     """Cell 0 .. 2 ** bits - 1 of a column, in the order of its values, so that least and greatest values of a run of cells prune; nulls are in cell 0."""
     if dict(df.dtypes)[column] == "string":
