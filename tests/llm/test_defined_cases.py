@@ -270,3 +270,56 @@ def test_cuts_of_strings_count_every_row(spark):
     assert len(set(given)) > 64 and string_cuts(df, "s", 8, 64) == want
     few = df.where("s < '0004'")
     assert string_cuts(few, "s", 8, 64) == sorted({v for v in given if v < "0004"}, key=str.encode)[:-1]
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from textbastion.llm.common import BATCH, Scratch
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    before = spark.conf.get(BATCH, None)
+    wide = spark.range(0, 2000, 1, 1).selectExpr("repeat('x', 20000) AS text").mapInArrow(sizes, "n long, bytes long")
+    got = Scratch(spark).keep(wide).collect()
+    assert sum(r.n for r in got) == 2000 and max(r.bytes for r in got) < 9 << 20
+    assert spark.conf.get(BATCH, None) == before
+
+
+def test_counting_repeated_tokens_holds_little():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from textbastion.llm import jaccard_join
+    from textbastion.llm.common import shingle_sets
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 2000))) for _ in range(900)]
+    texts += [t + " more" for t in texts[:100]]  # 1996 tokens in common
+    docs = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50])], ["text"]) for i in range(0, len(texts), 50)]
+
+    def peak(batches):
+        tracemalloc.start()
+        try:
+            return list(batches), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    sent, most = peak(jaccard_join.send_sets(iter(docs), 1))
+    assert most < 70  # MB at two million tokens; 12 of them are what is sent
+    assert len(sent) == 2
+    counted, most = peak(jaccard_join.count_repeated(iter(sent), 1))
+    assert most < 50
+    got = {}
+    for b in counted:
+        for names, rep in zip(b.column("name").to_pylist(), b.column("rep").to_pylist()):
+            got |= dict(zip(np.frombuffer(names, np.int64).tolist(), np.frombuffer(rep, np.int32).tolist()))
+    name = lambda t: int.from_bytes(jaccard_join.signature(shingle_sets(pa.array([t]))[0])[:8], "little", signed=True)
+    for i in range(100):
+        # tokens of one half within a set count once
+        assert all(1994 <= got[name(t)] <= 1997 for t in (texts[i], texts[900 + i]))
+    # two tokens of one half may meet among two million, 2 ** 21 / 2 ** 32 for each
+    assert sum(got.get(name(t), 0) for t in texts[100:900]) < 2000

@@ -10,6 +10,7 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Spark's setting that removes the shuffle files of a query when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's bound on a batch sent to or from Python, by default 64 MB; the JVM and the worker each hold such a batch beside their heaps.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +48,17 @@ class Scratch:
     def write(self, df: DataFrame) -> str:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
-        # else they stay until the driver happens to collect its garbage
-        conf.set(CLEANUP, "true")
+        # shuffle files stay else until the driver happens to collect its garbage
+        held = {CLEANUP: "true", BATCH: "8m"}
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in held}
+        for k, v in held.items():
+            conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return path
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -74,6 +81,14 @@ def partitions(spark: SparkSession, rows: int, per: int, least: int = 0) -> int:
     return max(least or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on from task to task, and their allocators keep what was freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 def text_column(col: pa.Array) -> pa.Array:

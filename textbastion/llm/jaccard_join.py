@@ -26,16 +26,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_group, components, mix, partitions, runs, shingle_sets, slices, table
+from .common import Scratch, by_group, components, mix, partitions, release, runs, shingle_sets, slices, table
 
 #: Tokens that get a set its leader, overlap (in percent) with a leader to follow it, followers in a block, tokens in a bucket.
 HEADS, FOLLOW, BLOCK, BUCKET = 6, 40, 1024, 2_000_000
+#: Tokens that a task gathers before it sends them, and ranges of a bucket's tokens that are counted one by one.
+FLUSH, RANGES = 1_000_000, 8
 #: Bits of the filter that keeps texts without a partner out of a shuffle.
 FILTER = 1 << 26
 U64 = np.uint64
@@ -67,6 +70,73 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, sig binary, name long, n int, slack int")
 
 
+def send_sets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, token, own, sigs) of the sets of these texts, each set once, by FLUSH tokens at a time."""
+    seen: set[bytes] = set()
+    sigs: list[bytes] = []
+    sets: list[np.ndarray] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        token = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        bucket = ((token >> U64(32)) % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        at = runs(bucket[order])
+        names = np.frombuffer(b"".join(sigs), np.uint64)
+        out: list[list] = [[], [], [], []]
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            x = order[i:j]
+            own = owner[x]
+            u = own[runs(own)[:-1]]  # the owners ascend within a bucket
+            for col, v in zip(out, (int(bucket[x[0]]), (token[x] & LOW).astype(np.uint32).tobytes(), np.searchsorted(u, own).astype(np.uint16).tobytes(), names[u].tobytes())):
+                col.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "own", "sigs"])
+
+    release()
+    for batch in batches:
+        for b in slices(batch):
+            for s in shingle_sets(b.column("text")):
+                if len(s) and (g := signature(s)[:8]) not in seen:
+                    seen.add(g), sigs.append(g), sets.append(s)
+                    size += len(s)
+                if size > FLUSH or len(sets) == 1 << 16:
+                    yield flush()
+                    sigs, sets, size = [], [], 0
+    if sets:
+        yield flush()
+    release()
+
+
+def count_repeated(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, name, rep) from what ``send_sets`` gives, sorted by bucket. A bucket is held at 8 bytes a token and counted by RANGES of its tokens."""
+    release()
+    for _, group in by_group(batches, ["bucket"]):
+        token, own, sigs = [], [], []
+        for b in group:
+            for t, o, g in zip(b.column("token"), b.column("own"), b.column("sigs")):
+                token.append(np.frombuffer(t.as_buffer(), np.uint32)), own.append(np.frombuffer(o.as_buffer(), np.uint16))
+                sigs.append(np.frombuffer(g.as_buffer(), np.int64))
+        names, inverse = np.unique(np.concatenate(sigs), return_inverse=True)
+        cuts = np.cumsum([len(g) for g in sigs])[:-1]
+        own = np.concatenate([m[o] for m, o in zip(np.split(inverse.astype(np.uint32), cuts), own)])
+        token = np.concatenate(token)
+        rep = np.zeros(len(names), np.int64)
+        for r in range(RANGES):
+            of = np.flatnonzero(token // np.uint32((1 << 32) // RANGES) == r)
+            x = np.unique(token[of].astype(np.uint64) << U64(32) | own[of])
+            at = runs(x >> U64(32))
+            times = np.repeat(np.diff(at), np.diff(at))
+            rep += np.bincount((x[times > 1] & LOW).astype(np.int64), minlength=len(names))
+        hit = np.flatnonzero(rep)
+        hit = hit[np.argsort(names[hit].view(np.uint64) % U64(parts), kind="stable")]
+        part = (names[hit].view(np.uint64) % U64(parts)).astype(np.int64)
+        at = runs(part)
+        cut = list(zip(at[:-1].tolist(), at[1:].tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), *(pa.array([c[hit[i:j]].tobytes() for i, j in cut], pa.binary()) for c in (names, rep.astype(np.int32)))], ["part", "name", "rep"])
+    release()
+
+
 def repeated(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
     """(name, rep): for each set, by the first half of its signature, how many of its tokens other sets hold as well (at least that many less its slack), summed over buckets of tokens in ``parts`` parts by name.
 
@@ -74,70 +144,15 @@ def repeated(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
     half only let a set pass that step 2 drops) and the set's place in the task's list: 6 bytes.
     """
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        sigs: list[bytes] = []
-        sets: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            token = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-            bucket = ((token >> U64(32)) % U64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at = runs(bucket[order])
-            names = np.frombuffer(b"".join(sigs), np.uint64)
-            out: list[list] = [[], [], [], []]
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-                x = order[i:j]
-                own = owner[x]
-                u = own[runs(own)[:-1]]  # the owners ascend within a bucket
-                for col, v in zip(out, (int(bucket[x[0]]), (token[x] & LOW).astype(np.uint32).tobytes(), np.searchsorted(u, own).astype(np.uint16).tobytes(), names[u].tobytes())):
-                    col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["bucket", "token", "own", "sigs"])
-
-        for batch in batches:
-            for b in slices(batch):
-                for s in shingle_sets(b.column("text")):
-                    if len(s) and (g := signature(s)[:8]) not in seen:
-                        seen.add(g), sigs.append(g), sets.append(s)
-                        size += len(s)
-                    if size > 4_000_000 or len(sets) == 1 << 16:
-                        yield flush()
-                        sigs, sets, size = [], [], 0
-        if sets:
-            yield flush()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in by_group(batches, ["bucket"]):
-            token, own, sigs, n = [], [], [], 0
-            for b in group:
-                for t, o, g in zip(b.column("token"), b.column("own"), b.column("sigs")):
-                    token.append(np.frombuffer(t.as_buffer(), np.uint32)), own.append(np.frombuffer(o.as_buffer(), np.uint16).astype(np.uint32) + np.uint32(n))
-                    sigs.append(np.frombuffer(g.as_buffer(), np.int64))
-                    n += len(sigs[-1])
-            names, inverse = np.unique(np.concatenate(sigs), return_inverse=True)
-            own = inverse[np.concatenate(own)].astype(np.uint64)
-            x = np.unique(np.concatenate(token).astype(np.uint64) << U64(32) | own)
-            at = runs(x >> U64(32))
-            times = np.repeat(np.diff(at), np.diff(at))
-            rep = np.bincount((x[times > 1] & LOW).astype(np.int64), minlength=len(names))
-            hit = np.flatnonzero(rep)
-            hit = hit[np.argsort(names[hit].view(np.uint64) % U64(parts), kind="stable")]
-            part = (names[hit].view(np.uint64) % U64(parts)).astype(np.int64)
-            at = runs(part)
-            cut = list(zip(at[:-1].tolist(), at[1:].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), *(pa.array([c[hit[i:j]].tobytes() for i, j in cut], pa.binary()) for c in (names, rep.astype(np.int32)))], ["part", "name", "rep"])
-
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_group(batches, ["part"]):
             x = blobs(group, {"name": np.int64, "rep": np.int32})
             names, inverse = np.unique(x["name"], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(inverse, x["rep"]).astype(np.int64))], ["name", "rep"])
 
-    sent = docs.select("text").mapInArrow(send, "bucket long, token binary, own binary, sigs binary")
+    sent = docs.select("text").mapInArrow(partial(send_sets, buckets=buckets), "bucket long, token binary, own binary, sigs binary")
     dealt = sent.repartition(partitions(docs.sparkSession, buckets, 1), "bucket").sortWithinPartitions("bucket")
-    counted = dealt.mapInArrow(count, "part long, name binary, rep binary")
+    counted = dealt.mapInArrow(partial(count_repeated, parts=parts), "part long, name binary, rep binary")
     return counted.repartition(partitions(docs.sparkSession, parts, 1), "part").sortWithinPartitions("part").mapInArrow(total, "name long, rep long")
 
 
